@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["telemetry", "features", "fleet"]
+MODULES = ["telemetry", "quality", "features", "fleet", "geo", "search"]
 
 
 def load_all() -> None:

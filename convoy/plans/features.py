@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from convoy.functions.arrays import sibling_delta
 from convoy.operators import evaluate, features, rules, scan
 from convoy.plans import derive as d
 from convoy.plans.registry import query
@@ -92,12 +91,11 @@ def feature_counts(spark, sf_dir):
 @query(
     "sibling_delta", "O-AGG-2",
     sql="""WITH a AS (SELECT l_orderkey, list(l_quantity) AS q, sum(l_quantity) AS s, count(*) AS n FROM lineitem GROUP BY l_orderkey)
-           SELECT l_orderkey, CASE WHEN n >= 2 THEN list_max(list_transform(q, v -> abs(v - (s - v) / (n - 1)))) END AS delta FROM a""",
+           SELECT l_orderkey, CASE WHEN n >= 2 THEN list_max(list_transform(q, lambda v: abs(v - (s - v) / (n - 1)))) END AS delta FROM a""",
 )
 def sibling_delta_query(spark, sf_dir):
-    """Quantities of one order as tyre pressures; an order has at most a handful of lines."""
-    lists = d.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_quantity").alias("q"))
-    return lists.select("l_orderkey", sibling_delta(F.col("q")).alias("delta"))
+    """Lines of an order as tyres of a vehicle, in long form."""
+    return features.grouped_sibling_delta(d.table(spark, sf_dir, "lineitem"), ["l_orderkey"], "l_quantity", "delta")
 
 
 @query(

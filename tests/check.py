@@ -17,7 +17,7 @@ from convoy.session import build_session  # noqa: E402
 def main():
     sf_dir = f"/root/testdata/sf{sys.argv[1]}"
     parts = sys.argv[2:]
-    spark = build_session("convoy-check", master="local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="8g")
+    spark = build_session("convoy-check", master="local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="8g", spark__ui__showConsoleProgress="false")
     spark.sparkContext.setLogLevel("ERROR")
     con = compare.connect(sf_dir)
     bad = 0

@@ -15,6 +15,7 @@ def spark():
 
     session = build_session(
         "convoy-tests", master="local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="6g",
+        spark__ui__showConsoleProgress="false",
     )
     session.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(session)
