@@ -22,11 +22,10 @@ def vin_well_formed(vin: Column) -> Column:
 
 def vin_check_digit(vin: Column) -> Column:
     """The digit position 9 should hold; NULL when the VIN has a bad length or character."""
-    digits = F.translate(vin, VIN_LETTERS, VIN_DIGITS)
-    total = sum(
-        (F.substring(digits, i, 1).try_cast("int") * F.lit(w) for i, w in enumerate(VIN_WEIGHTS, start=1) if w),
-        F.lit(0),
-    )
+    digits = F.split(F.translate(vin, VIN_LETTERS, VIN_DIGITS), "")
+    weights = F.array(*[F.lit(w) for w in VIN_WEIGHTS])
+    weighted = F.zip_with(digits, weights, lambda c, w: F.coalesce(c.try_cast("int") * w, F.lit(0)))
+    total = F.aggregate(weighted, F.lit(0), lambda acc, v: acc + v)
     rest = F.pmod(total, F.lit(11))
     return F.when(vin_well_formed(vin), F.when(rest == 10, F.lit("X")).otherwise(rest.cast("string")))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from convoy import schemas as S
 from convoy.functions import codes
 from convoy.functions.shard import md5_shard
+from convoy.operators.scan import once
 
 TOPIC = r"\Afleet/([^/]+)/shard-([0-9]+)/([^/]+)/telemetry\z"
 ZONED = r"(Z|z|[+-][0-9]{2}(:?[0-9]{2})?)\z"
@@ -17,7 +18,7 @@ ZONED = r"(Z|z|[+-][0-9]{2}(:?[0-9]{2})?)\z"
 REASONS = ["bad_topic", "shard_mismatch", "bad_json", "topic_vin_mismatch", "schema_invalid"]
 
 # every scalar is first read as text, then converted; this is the lenient conversion of numbers in quotes
-_TEXT_ENVELOPE = "vin string, msg_type string, seq string, ts string, fw_version string, schema_ver string, driver_token string, payload string"
+_TEXT_ENVELOPE = "vin string, msg_type string, seq string, ts string, fw_version string, schema_ver string, driver_token string, payload string, _bad string"
 _TEXT_TYPES = {"array<double>": "array<string>", "array<string>": "array<string>", "map<string,double>": "map<string,string>"}
 _TEXT_PAYLOAD = ", ".join(f"{n} {_TEXT_TYPES.get(t, 'string')}" for n, t in S.PAYLOAD_FIELDS)
 
@@ -111,10 +112,12 @@ def judge(raw: DataFrame, shards: int, topic: str = "topic", value: str = "value
             "_vin": F.regexp_extract(address, TOPIC, 3),
         }
     )
-    parsed = parsed.withColumn("_m", F.from_json("_text", _TEXT_ENVELOPE)).withColumn("_p", F.from_json("_m.payload", _TEXT_PAYLOAD))
+    parsed = once(parsed, "_m", F.from_json("_text", _TEXT_ENVELOPE, {"columnNameOfCorruptRecord": "_bad"}))
+    parsed = once(parsed, "_p", F.from_json("_m.payload", _TEXT_PAYLOAD))
     known = F.coalesce(address.rlike(TOPIC), F.lit(False))
     right_shard = F.coalesce(F.col("_shard") == shard(F.col("_vin"), shards), F.lit(False))
-    is_object = F.coalesce(F.ltrim("_text").startswith("{"), F.lit(False)) & F.try_parse_json(F.col("_text")).isNotNull()
+    # every field of the envelope is read as text, so only malformed JSON counts as corrupt
+    is_object = F.col("_m._bad").isNull() & F.coalesce(F.rtrim("_text").endswith("}") & F.ltrim("_text").startswith("{"), F.lit(False))
     reason = (
         F.when(~known, REASONS[0])
         .when(~right_shard, REASONS[1])
@@ -128,7 +131,7 @@ def judge(raw: DataFrame, shards: int, topic: str = "topic", value: str = "value
         .when(F.col("reason") == REASONS[4], F.concat_ws(" ", "_m.msg_type", "_m.seq"))
         .otherwise(F.lit(""))
     )
-    return parsed.withColumn("reason", reason).withColumn("detail", detail)
+    return once(parsed, "reason", reason).withColumn("detail", detail)
 
 
 def accepted(judged: DataFrame, *keep: str) -> DataFrame:

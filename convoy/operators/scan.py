@@ -11,6 +11,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column that is computed once per row however often it is used.
+
+    The optimizer would copy a plain projection into every expression that refers to it, and
+    parse or hash the same text again each time. It does not move expressions across a generator.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 _COMBINE = {"sum": F.sum, "max": F.max, "min": F.min, "last": F.last}
 
 

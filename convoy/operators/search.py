@@ -6,41 +6,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from convoy.functions import text as words
+from convoy.functions.text import hashed_vector
 
 QUERY_BLOCK = 2048
 CORPUS_BLOCK = 8192
 
 
-def hashed_counts(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, bucket, weight): signed token counts per bucket; a text without tokens has one NULL bucket.
-
-    Counting starts in the task that reads the text, so at most 384 rows per text are shuffled.
-    """
-    slot = words.hash_slot(F.col("_token"))
-    exploded = df.select(key, F.explode_outer(words.tokens(F.col(text))).alias("_token")).withColumn("_slot", slot)
-    return exploded.groupBy(key, words.bucket(F.col("_slot")).alias("bucket")).agg(F.sum(words.sign(F.col("_slot"))).alias("weight"))
-
-
 def hashed_vectors(df: DataFrame, key: str, text: str, normalise: bool = True) -> DataFrame:
-    """One vector of 384 numbers per text, of unit length unless the text has no tokens."""
-    entries = F.map_from_entries(
-        F.filter(F.collect_list(F.struct("bucket", F.col("weight").cast("double").alias("w"))), lambda e: e["bucket"].isNotNull())
-    )
-    packed = hashed_counts(df, key, text).groupBy(key).agg(entries.alias("_m"))
-    dense = F.transform(
-        F.sequence(F.lit(0), F.lit(words.DIMENSIONS - 1)), lambda b: F.coalesce(F.try_element_at(F.col("_m"), b), F.lit(0.0))
-    )
-    vectors = packed.select(key, dense.alias("vector"))
-    return vectors.withColumn("vector", unit(F.col("vector"))) if normalise else vectors
-
-
-def unit(vector: Column) -> Column:
-    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda acc, v: acc + v * v))
-    return F.when(norm > 0, F.transform(vector, lambda v: v / norm)).otherwise(vector)
+    """One vector of 384 numbers per text."""
+    return df.select(key, hashed_vector(F.col(text), normalise).alias("vector"))
 
 
 def _matrix(column: pd.Series) -> np.ndarray:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from convoy.functions import codes
 from convoy.functions.shard import md5_shard
 from convoy.operators import quality
+from convoy.operators.scan import once
 from convoy.plans import derive as d
 from convoy.plans.registry import query
 
@@ -23,7 +24,7 @@ def raw_messages(spark, sf_dir):
               "coolant_c", "oil_kpa", "trans_c", "tire_kpa", "tire_c", "brake_pad_pct", "batt_12v_rest_v", "charge_v", "mil_on",
               "soh_pct", "event_type", "dtc"]
     health = F.col("msg_type") == "HEALTH"
-    rows = rows.withColumn("vin", vin).withColumns(
+    rows = once(rows.drop("vin"), "vin", vin).withColumns(
         {
             "speed_kmh": F.when(fault == 4, F.lit(-5.0)).otherwise(F.col("speed_kmh")),
             "brake_pad_pct": F.when(health & (fault == 4), F.array(F.lit(120.0))).otherwise(F.col("brake_pad_pct")),
