@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["telemetry", "quality", "features", "fleet", "geo", "search"]
+MODULES = ["telemetry", "quality", "features", "fleet", "geo", "search", "streams"]
 
 
 def load_all() -> None:

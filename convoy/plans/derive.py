@@ -84,13 +84,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def signals_of(events: DataFrame) -> DataFrame:
+    return events.selectExpr(*_select(SIGNAL))
+
+
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").selectExpr(*_select(SIGNAL))
+    return signals_of(table(spark, sf_dir, "events"))
 
 
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flat telemetry rows with the arrays of HEALTH messages."""
-    flat = signals(spark, sf_dir).selectExpr("*", *_select(FAST, _FAST_ONLY), *_select(HEALTH, _HEALTH_ONLY), *_select(EVENT, _EVENT_ONLY))
+    return telemetry_of(table(spark, sf_dir, "events"))
+
+
+def telemetry_of(events: DataFrame) -> DataFrame:
+    """Flat telemetry rows with the arrays of HEALTH messages, from a table or a stream."""
+    flat = signals_of(events).selectExpr("*", *_select(FAST, _FAST_ONLY), *_select(HEALTH, _HEALTH_ONLY), *_select(EVENT, _EVENT_ONLY))
     healthy = F.col("msg_type") == "HEALTH"
     codes = (
         F.when(F.col("n_dtc") == 0, F.array().cast("array<string>"))
@@ -117,6 +125,12 @@ def with_copies(rows: DataFrame) -> DataFrame:
     return rows.unionByName(copies)
 
 
+def with_copies_of(rows: DataFrame) -> DataFrame:
+    """The same in one pass, for streams: clicks are exploded into two rows."""
+    times = F.when(F.col("kind") == "click", F.array(F.lit(0), F.lit(1000))).otherwise(F.array(F.lit(0)))
+    return rows.withColumn("_later", F.explode(times)).withColumn("arrival", F.col("arrival") + F.col("_later")).drop("_later")
+
+
 COPIES = "dup AS (SELECT * FROM sig UNION ALL BY NAME SELECT * REPLACE (arrival + 1000 AS arrival) FROM sig WHERE kind = 'click')"
 
 # --- fleet, depots, predictions, bookings, work orders --------------------------------------
