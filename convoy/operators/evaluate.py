@@ -76,31 +76,40 @@ def best_f1(scored: DataFrame, by: list[str], score: str = "score", label: str =
     )
 
 
-def precision_at_k(
+def top_k(
     scored: DataFrame, by: list[str], tie: str, tie_chunk: Column, k: int | None = None,
     score: str = "score", label: str = "label",
 ) -> DataFrame:
-    """Share of positives among the ``k`` highest scores (``k=None``: as many as there are positives).
+    """The ``k`` rows with the highest scores per group (``k=None``: as many as there are positives).
 
-    Scores above the k-th are counted whole from the curve. Only the rows that tie with the
-    k-th score are ranked, by ``tie``, in chunks.
+    The curve tells the score of the k-th row. Rows above it are taken as they are; only the
+    rows that tie with it are ranked, by ``tie``, in chunks that do not decrease along ``tie``.
     """
     curve = score_curve(scored, by, score, label)
-    totals = _totals(curve, by)
     wanted = F.col("positives") if k is None else F.lit(k).cast("long")
+    totals = _totals(curve, by).select(*by, F.least(wanted, F.col("rows")).alias("_k"))
     cut = (
-        curve.join(totals.select(*by, F.least(wanted, F.col("rows")).alias("k")), by)
-        .filter((F.col("n_above") < F.col("k")) & (F.col("n_above") + F.col("n") >= F.col("k")))
-        .select(*by, score, "k", "n_above", "pos_above")
+        curve.join(totals, by)
+        .filter((F.col("n_above") < F.col("_k")) & (F.col("n_above") + F.col("n") >= F.col("_k")))
+        .select(*by, F.col(score).alias("_cut"), (F.col("_k") - F.col("n_above")).alias("_room"))
     )
-    tied = scored.join(cut, [*by, score]).withColumn("_chunk", tie_chunk)
+    near = scored.join(cut, by).filter(F.col(score) >= F.col("_cut")).withColumn("_chunk", tie_chunk)
+    tied = near.filter(F.col(score) == F.col("_cut"))
     before = carried(tied, by, "_chunk", {"_seen": (F.count(F.lit(1)), "sum")})
     place = F.row_number().over(chunk_window(by, "_chunk", [F.col(tie)])) + F.coalesce(F.col("_seen"), F.lit(0))
-    taken = tied.join(before, [*by, "_chunk"]).filter(f"{tie} IS NOT NULL").withColumn("_place", place)
-    chosen = F.sum(F.when(F.col("_place") <= F.col("k") - F.col("n_above"), F.col(label)).otherwise(0))
-    return taken.groupBy(*by, "k", "n_above", "pos_above").agg(chosen.cast("long").alias("_hits")).select(
-        *by, "k", (F.col("pos_above") + F.col("_hits")).alias("hits"),
-        ((F.col("pos_above") + F.col("_hits")) / F.col("k")).alias("precision_at_k"),
+    taken = tied.join(before, [*by, "_chunk"]).withColumn("_place", place).filter(F.col("_place") <= F.col("_room"))
+    above = near.filter(F.col(score) > F.col("_cut"))
+    return above.select(*scored.columns).unionByName(taken.select(*scored.columns))
+
+
+def precision_at_k(
+    scored: DataFrame, by: list[str], tie: str, tie_chunk: Column, k: int | None = None,
+    score: str = "score", label: str = "label",
+) -> DataFrame:
+    """Share of positives among the ``k`` highest scores."""
+    chosen = top_k(scored, by, tie, tie_chunk, k, score, label)
+    return chosen.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("k"), F.sum(F.col(label).cast("long")).alias("hits"), F.avg(label).alias("precision_at_k")
     )
 
 
