@@ -42,4 +42,5 @@ def hashed_vector(text: Column, normalise: bool = True) -> Column:
             out.append(vector / norm if normalise and norm > 0 else vector)
         return pd.Series(out)
 
-    return vectors(text)
+    # not "deterministic" for the optimizer: it must not run the hashing again for an inferred filter
+    return vectors.asNondeterministic()(text)

@@ -17,9 +17,10 @@ _BODY = "upper(substr(md5(cast({0} as string)), 1, 17))"
 
 def raw_messages(spark, sf_dir):
     """Raw topic and JSON text per event, with one fault kind per value of ``k % 10``."""
-    rows = d.telemetry(spark, sf_dir)
+    rows = d.telemetry_of(d.spread(d.table(spark, sf_dir, "events")))
     fault = F.col("k") % 10
-    vin = codes.vin_repaired(F.expr(_BODY.format("vehicle_id")))
+    rows = once(rows, "_body", F.expr(_BODY.format("vehicle_id")))
+    vin = codes.vin_repaired(F.col("_body"))
     fields = ["lat", "lon", "heading", "gps_hdop", "speed_kmh", "odo_km", "accel_long_g", "accel_lat_g", "ambient_c", "rpm",
               "coolant_c", "oil_kpa", "trans_c", "tire_kpa", "tire_c", "brake_pad_pct", "batt_12v_rest_v", "charge_v", "mil_on",
               "soh_pct", "event_type", "dtc"]

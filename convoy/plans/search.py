@@ -22,7 +22,7 @@ def _slots(table: str, key: str) -> str:
        sql=f"""WITH w AS ({_slots('documents', 'doc_id')}), n AS (SELECT doc_id, sqrt(sum(weight * weight)::DOUBLE) AS norm FROM w GROUP BY doc_id)
                SELECT doc_id, bucket, round(weight / norm, 12) AS value FROM w JOIN n USING (doc_id) WHERE weight <> 0""")
 def hash_embed(spark, sf_dir):
-    vectors = search.hashed_vectors(d.table(spark, sf_dir, "documents"), "doc_id", "text")
+    vectors = search.hashed_vectors(d.spread(d.table(spark, sf_dir, "documents")), "doc_id", "text")
     long = vectors.select("doc_id", F.posexplode("vector").alias("bucket", "value")).filter("value <> 0")
     return long.select("doc_id", F.col("bucket").cast("long").alias("bucket"), F.round("value", 12).alias("value"))
 
@@ -35,7 +35,7 @@ def hash_embed(spark, sf_dir):
               FROM qn CROSS JOIN dn LEFT JOIN dots ON dots.item_id = qn.item_id AND dots.doc_id = dn.doc_id),
        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, item_id) AS place FROM ds) SELECT * FROM r WHERE place <= 5""")
 def kb_search(spark, sf_dir):
-    corpus = search.hashed_vectors(d.table(spark, sf_dir, "documents"), "doc_id", "text", normalise=False)
+    corpus = search.hashed_vectors(d.spread(d.table(spark, sf_dir, "documents")), "doc_id", "text", normalise=False)
     wanted = search.hashed_vectors(d.table(spark, sf_dir, "benchmark"), "item_id", "text", normalise=False)
     return search.cosine_neighbours(wanted, corpus, 5, "item_id", "doc_id")
 
