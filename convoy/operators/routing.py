@@ -12,7 +12,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,6 +51,8 @@ def _search(lat, lon, order, sites: dict[str, np.ndarray]):
 
 
 def _search_local(points: DataFrame, rows: list, order: str | None) -> DataFrame:
+    if not rows:
+        return points.selectExpr("*", "cast(null as bigint) as depot_id", "cast(null as double) as distance_km").filter("false")
     rows = sorted(rows, key=lambda r: r["depot_id"])
     sites = {
         "id": np.array([r["depot_id"] for r in rows], dtype=np.int64),
@@ -68,7 +69,7 @@ def _search_local(points: DataFrame, rows: list, order: str | None) -> DataFrame
             best, term = _search(batch["lat"].fillna(0).to_numpy(float), batch["lon"].fillna(0).to_numpy(float), wanted, sites)
             hit = (best >= 0) & known
             out = batch[keep].copy()
-            out["depot_id"] = pd.array(sites["id"][best], dtype="Int64") if len(sites["id"]) else pd.array([None] * len(batch), dtype="Int64")
+            out["depot_id"] = sites["id"][best]
             out["distance_km"] = 2 * EARTH_RADIUS_KM * np.arcsin(np.sqrt(np.minimum(term, 1.0)))
             yield out[hit]
 
@@ -208,8 +209,7 @@ def assign_bays(
     known = {r["depot_id"]: r.asDict() for r in cutoffs.collect()} if local else None
     while True:
         if local:
-            choice = _search_local(contenders, list(known.values()), order) if known else contenders.withColumns(
-                {"depot_id": F.lit(None).cast("long"), "distance_km": F.lit(None).cast("double")}).filter(F.lit(False))
+            choice = _search_local(contenders, list(known.values()), order)
         else:
             choice = _search_cells(contenders, cutoffs, stats["n"], order, order)
         over = _overfull(choice, free, order, int(stats["most"] or 0))

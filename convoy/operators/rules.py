@@ -65,6 +65,15 @@ BASELINE_CHECKS = [
 ]
 
 
+def keep(df: DataFrame, condition: Column, ts: str) -> DataFrame:
+    """Filter; on a stream it stays above the watermark, so that all messages move event time forward.
+
+    A predicate that mentions the event time is not pushed below the watermark. On a table the
+    plain predicate is used, which reaches the scan.
+    """
+    return df.filter(F.when(F.col(ts).isNotNull(), condition)) if df.isStreaming else df.filter(condition)
+
+
 def _alert(failure_type: str, severity: str, source: str, codes: Column) -> Column:
     return F.struct(
         F.lit(failure_type).alias("failure_type"), F.lit(severity).alias("severity"),
@@ -115,7 +124,7 @@ def sustained_alerts(
     kinds = sorted({r.msg_type for r in rules})
     present = F.coalesce(*[F.col(s) for s in signals]).isNotNull()
     grouped = (
-        df.filter(F.col("msg_type").isin(kinds) & present)
+        keep(df, F.col("msg_type").isin(kinds) & present, ts)
         .groupBy("vin", "tenant", F.window(ts, window, slide).alias("_w"))
         .agg(
             *[F.min(F.when(F.col("msg_type") == r.msg_type, F.col(r.signal))).alias(f"_min_{i}") for i, r in enumerate(rules)],

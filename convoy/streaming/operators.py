@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from convoy.operators.rules import keep
+
 WATERMARK = "5 seconds"
 DEDUP_SPAN = "1 hour"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -94,7 +96,7 @@ def misfire_recurrence(stream: DataFrame, within_seconds: int = 600, skip: str =
     """
     if match is None:
         match = (F.col("event_type") == "DTC_SET") & F.col("dtc").rlike("^P030[0-8]$")
-    events = stream.filter(F.col("msg_type") == "EVENT").select(
+    events = keep(stream, F.col("msg_type") == "EVENT", "event_time").select(
         "vin", "tenant", "event_time", "seq", F.coalesce(match, F.lit(False)).alias("matched"), "dtc"
     )
     pairs = events.groupBy("vin", "tenant").transformWithStateInPandas(
