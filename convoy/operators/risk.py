@@ -89,7 +89,8 @@ def newest_per_group(df: DataFrame, group: str, size: int, order: list[Column])
 
 
 def risk_percent(risk: Column) -> Column:
-    return F.format_string("%.1f%%", risk.cast("double") * F.lit(100.0))
+    """Percent text with one decimal. ``format_number`` rounds the exact binary value, half to even."""
+    return F.concat(F.replace(F.format_number(risk.cast("double") * F.lit(100.0), 1), F.lit(",")), F.lit("%"))
 
 
 def risk_distribution(risk: DataFrame, least: float = DISTRIBUTION_RISK) -> DataFrame:

@@ -99,3 +99,9 @@ def test_pages_cover_everything_once(spark):
             break
         cursor = (last["risk_score"], last["vehicle_id"])
     assert seen == sorted(((r.risk_score, r.vehicle_id) for r in rows.collect()), reverse=True)
+
+
+def test_risk_percent_rounds_like_fixed_point_formatting(spark):
+    rows = [(i, i / 1e5) for i in range(100_001)]
+    frame = spark.createDataFrame(rows, "i long, r double").withColumn("text", risk.risk_percent(F.col("r")))
+    assert [r.i for r in frame.collect() if r.text != f"{r.r * 100:.1f}%"] == []
