@@ -105,7 +105,7 @@ def _paired_blocks(wanted: DataFrame, items: DataFrame, k: int, digits: int, ski
 
 def upsert_catalogue(old: DataFrame | None, entries: DataFrame, key: str, text: str) -> DataFrame:
     """Catalogue with vectors: new and changed entries replace stored ones by key, the rest stays."""
-    fresh = entries.join(hashed_vectors(entries, key, text), key)
+    fresh = entries.withColumn("vector", hashed_vector(F.col(text)))
     if old is None:
         return fresh
     return old.join(entries.select(key), key, "left_anti").unionByName(fresh)

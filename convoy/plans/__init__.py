@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["telemetry", "quality", "features", "fleet", "geo", "search", "streams", "ml"]
+MODULES = ["telemetry", "quality", "features", "fleet", "geo", "search", "streams", "ml", "stores"]
 
 
 def load_all() -> None:

@@ -71,15 +71,18 @@ _LONG_SQL = " UNION ALL ".join(
 )
 
 
+def stand_in_scores(spark, sf_dir):
+    columns = {t: (F.floor(F.coalesce(F.col(c), F.lit(0.0)) * 10).cast("long") % 128).cast("double") / 128 for t, c in _SCORE.items()}
+    return pf.table(spark, sf_dir).drop("failure_type").withColumns(columns).withColumn("key", F.struct("vin", "day"))
+
+
 @query("score_long", "O-ML-16", "O-ML-17", "O-ML-14",
        sql=f"""WITH {pf._FEATURES}, {d.VEHICLES}, sc AS ({_LONG_SQL}), tr AS (SELECT * FROM trend), ld AS ({pf._LEAD_SQL})
        SELECT v.vehicle_id, sc.day, sc.failure_type, round(s, 5) AS risk_score, round(ld.lead_days, 6) AS lead_days, 'v1' AS model_version, 384::INTEGER AS vector_size
        FROM sc JOIN vehicles v USING (vin) LEFT JOIN ld ON ld.vin = sc.vin AND ld.day = sc.day AND ld.failure_type = sc.failure_type WHERE s >= 0.01""")
 def score_long(spark, sf_dir):
     """Long scores for every vehicle day, from stand-in score columns so that the result is fixed."""
-    scored = pf.table(spark, sf_dir).drop("failure_type").withColumns(
-        {t: (F.floor(F.coalesce(F.col(c), F.lit(0.0)) * 10).cast("long") % 128).cast("double") / 128 for t, c in _SCORE.items()}
-    ).withColumn("key", F.struct("vin", "day"))
+    scored = stand_in_scores(spark, sf_dir)
     long = risk.long_scores(scored, TYPES, features.NUMERIC_FEATURES, "v1", features.lead_days(F.col("failure_type")), key="key").select("key.*", "*")
     named = long.join(d.vehicles(spark, sf_dir).select("vin", "vehicle_id"), "vin")
     return named.select(
