@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from convoy.operators.scan import carried, chunk_window, number_chunk
+from convoy.operators.scan import carried, chunk_window
 
 # Cost of a breakdown and of an inspection.
 COST_BREAKDOWN = 150_000
@@ -18,12 +18,18 @@ DEFAULT_THRESHOLD = 0.5
 MIN_LEAD_DAYS = 5
 
 
-def score_curve(scored: DataFrame, by: list[str], score: str = "score", label: str = "label", chunk_width: float = 1 / 4096) -> DataFrame:
+def score_chunk(score: Column) -> Column:
+    """Span of a score in [0, 1]: even steps above 1/16, steps of equal ratio for the many tiny scores below."""
+    small = F.floor(F.log2(score) * F.lit(64.0)) - 100_000
+    return F.when(score >= 1 / 16, F.floor(score * F.lit(4096.0))).when(score > 0, small).otherwise(F.lit(-1_000_000))
+
+
+def score_curve(scored: DataFrame, by: list[str], score: str = "score", label: str = "label") -> DataFrame:
     """Per distinct score: rows and positives at it, above it (``*_above``), and in total."""
     points = (
         scored.groupBy(*by, score)
         .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("pos"))
-        .withColumn("_chunk", number_chunk(F.col(score), chunk_width))
+        .withColumn("_chunk", score_chunk(F.col(score)))
     )
     above = carried(
         points, by, "_chunk", {"_n0": (F.sum("n"), "sum"), "_p0": (F.sum("pos"), "sum")}, descending=True

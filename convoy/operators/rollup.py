@@ -45,9 +45,12 @@ def refresh(stored: DataFrame, raw: DataFrame, now: Column, ts: str = "event_tim
 
 
 def write_refreshed(raw: DataFrame, path: str, now: Column, ts: str = "event_time", start_days: int = 3, end_hours: int = 1) -> None:
-    """Replaces only the refreshed day directories of the stored rollup."""
-    days = refreshed_days(raw, now, ts, start_days, end_hours)
-    days.repartition("day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+    """Replaces only the refreshed day directories of the stored rollup.
+
+    The rebalance hint lets Spark merge small and split large days into files of even size.
+    """
+    days = refreshed_days(raw, now, ts, start_days, end_hours).hint("rebalance", "day")
+    days.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
 
 
 def fleet_trend(daily: DataFrame, columns: list[str]) -> DataFrame:

@@ -19,6 +19,8 @@ from convoy.functions.geo import EARTH_RADIUS_KM, haversine_km
 from convoy.operators.scan import carried, chunk_window
 
 LOCAL_DEPOTS = 10_000
+BOOKING_DEPOTS = 100_000
+BOOKINGS_PER_TASK = 20_000
 _TOP_CELL_DEGREES = 9.0
 _PAIRS_PER_BLOCK = 2_000_000
 _OPEN = float(2**62)  # cutoff of a depot that still has room
@@ -183,44 +185,87 @@ def live_position(vehicles: DataFrame, twin: DataFrame, depots: DataFrame, key:
 
 
 # --- booking many requests ------------------------------------------------------------------------
+def _book_in_task(requests: DataFrame, rows: list, order: str) -> DataFrame:
+    """Books the requests of each task one by one, as if the task's requests were alone.
+
+    A depot takes a request while it has bays left in this task and its cutoff allows. Input
+    partitions hold consecutive requests, sorted by ``order``.
+    """
+    rows = sorted(rows, key=lambda r: r["depot_id"])
+    ids = np.array([r["depot_id"] for r in rows], dtype=np.int64)
+    phi, lam = (np.radians(np.array([r[c] for r in rows], dtype=float)) for c in ("lat", "lon"))
+    bays = np.array([r["free_bays"] for r in rows], dtype=np.int64)
+    cutoff = np.array([r["cutoff"] for r in rows], dtype=float)
+    keep = requests.columns
+
+    def book(batches):
+        left = bays.copy()
+        for batch in batches:
+            chosen = np.full(len(batch), -1, dtype=np.int64)
+            term = np.full(len(batch), np.nan)
+            places = zip(batch[order], np.radians(batch["lat"].to_numpy(float)), np.radians(batch["lon"].to_numpy(float)))
+            for i, (number, p, q) in enumerate(places):
+                h = np.sin((phi - p) / 2) ** 2 + np.cos(p) * np.cos(phi) * np.sin((lam - q) / 2) ** 2
+                h = np.where((left > 0) & (cutoff >= number), h, np.inf)
+                best = int(np.argmin(h))  # first minimum: lowest depot id
+                if np.isfinite(h[best]):
+                    chosen[i], term[i] = best, h[best]
+                    left[best] -= 1
+            out = batch[keep].copy()
+            out["depot_id"] = ids[chosen]
+            out["distance_km"] = 2 * EARTH_RADIUS_KM * np.arcsin(np.sqrt(np.minimum(term, 1.0)))
+            yield out[chosen >= 0]
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema.fields)
+    return requests.mapInPandas(book, f"{fields}, {_RESULT}")
+
+
 def assign_bays(
-    requests: DataFrame, depots: DataFrame, order: str, order_chunk: Column, local_limit: int = LOCAL_DEPOTS
+    requests: DataFrame, depots: DataFrame, order: str, order_chunk: Column, local_limit: int = BOOKING_DEPOTS,
+    per_task: int = BOOKINGS_PER_TASK,
 ) -> DataFrame:
     """Books requests as if handled one by one in ``order``, each at the nearest depot with a bay left.
 
     Every request takes a bay while any is left, so exactly the first "total free bays" requests
     are placed. Who gets which bay is a fixed point of one cutoff per depot: the latest request
-    it can still take. A round lets every request pick its nearest depot with a cutoff not before
-    it; a depot chosen more often than it has bays lowers its cutoff to its last accepted request.
-    Cutoffs only fall, and when none changes the choices are the sequential result. The cutoffs
-    are the only state between rounds. Unplaced requests are not returned.
+    it can still take. In a round the requests choose under the current cutoffs, and a depot
+    chosen more often than it has bays lowers its cutoff to its last accepted request. Cutoffs
+    only fall, and when none changes the choices are the sequential result. The cutoffs are the
+    only state between rounds. Unplaced requests are not returned.
+
+    Up to ``local_limit`` depots every task books ``per_task`` consecutive requests one by one.
+    The first task is right at once, the second after one round and so on, so the number of
+    rounds is bounded by the number of tasks however crowded a place is. With more depots each
+    request picks its nearest eligible one by map cells, which takes more rounds.
     """
     free = depots.filter(F.col("free_bays") > 0).select("depot_id", "lat", "lon", "free_bays")
     stats = free.agg(F.sum("free_bays").alias("bays"), F.max("free_bays").alias("most"), F.count(F.lit(1)).alias("n")).first()
+    total, most = int(stats["bays"] or 0), int(stats["most"] or 0)
     ranked = requests.select(order, "lat", "lon").filter(F.col("lat").isNotNull() & F.col("lon").isNotNull())
     ranked = ranked.withColumn("_chunk", order_chunk)
     before = carried(ranked, [], "_chunk", {"_before": (F.count(F.lit(1)), "sum")})
     place = F.row_number().over(chunk_window([], "_chunk", [F.col(order)])) + F.coalesce(F.col("_before"), F.lit(0))
-    placed = ranked.join(before, "_chunk").withColumn("_place", place).filter(F.col("_place") <= (stats["bays"] or 0))
-    contenders = placed.select(order, "lat", "lon").checkpoint()
+    placed = ranked.join(before, "_chunk").withColumn("_place", place).filter(F.col("_place") <= total)
+    local = stats["n"] <= local_limit
+    contenders = placed.select(order, "lat", "lon")
+    if local:
+        tasks = max(1, -(-total // per_task))
+        contenders = contenders.repartitionByRange(tasks, order).sortWithinPartitions(order)
+    contenders = contenders.checkpoint()
 
     cutoffs = free.withColumn("cutoff", F.lit(_OPEN))
-    local = stats["n"] <= local_limit
     known = {r["depot_id"]: r.asDict() for r in cutoffs.collect()} if local else None
     while True:
         if local:
-            choice = _search_local(contenders, list(known.values()), order)
-        else:
-            choice = _search_cells(contenders, cutoffs, stats["n"], order, order)
-        over = _overfull(choice, free, order, int(stats["most"] or 0))
-        if local:
-            lowered = over.collect()  # at most one row per depot, and depots are within the limit
+            choice = _book_in_task(contenders, list(known.values()), order) if known else _search_local(contenders, [], order)
+            lowered = _overfull(choice, free, order, most).collect()  # at most one row per depot, within the limit
             if not lowered:
                 return choice.select(order, "depot_id", "distance_km")
             for row in lowered:
                 known[row["depot_id"]]["cutoff"] = float(row["new_cutoff"])
         else:
-            over = over.checkpoint()
+            choice = _search_cells(contenders, cutoffs, stats["n"], order, order)
+            over = _overfull(choice, free, order, most).checkpoint()
             if over.isEmpty():
                 return choice.select(order, "depot_id", "distance_km")
             cutoffs = cutoffs.join(over, "depot_id", "left").withColumn(

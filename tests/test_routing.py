@@ -66,7 +66,8 @@ def test_booking_equals_one_by_one(spark, seed, limit):
             best = min(open_depots, key=lambda d: (km((lat, lon), d[1:3]), d[0]))[0]
             left[best] -= 1
             expected[car] = best
-    booked = routing.assign_bays(*frames(spark, cars, depots), "vehicle_id", scan.number_chunk(F.col("vehicle_id"), 7), local_limit=limit)
+    chunk = scan.number_chunk(F.col("vehicle_id"), 7)
+    booked = routing.assign_bays(*frames(spark, cars, depots), "vehicle_id", chunk, local_limit=limit, per_task=5)
     assert {r.vehicle_id: r.depot_id for r in booked.collect()} == expected
 
 
