@@ -36,13 +36,13 @@ def score_curve(scored: DataFrame, by: list[str], score: str = "score", label: s
     )
     window = chunk_window(by, "_chunk", [F.col(score).desc()]).rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")
-    curve = points.join(above, [*by, "_chunk"]).withColumns(
+    inside = points.withColumns({"_n1": F.sum("n").over(window), "_p1": F.sum("pos").over(window)})
+    return inside.join(above, [*by, "_chunk"]).withColumns(
         {
-            "n_above": F.coalesce(F.sum("n").over(window), zero) + F.coalesce(F.col("_n0"), zero),
-            "pos_above": F.coalesce(F.sum("pos").over(window), zero) + F.coalesce(F.col("_p0"), zero),
+            "n_above": F.coalesce(F.col("_n1"), zero) + F.coalesce(F.col("_n0"), zero),
+            "pos_above": F.coalesce(F.col("_p1"), zero) + F.coalesce(F.col("_p0"), zero),
         }
-    ).drop("_chunk", "_n0", "_p0")
-    return curve
+    ).drop("_chunk", "_n0", "_p0", "_n1", "_p1")
 
 
 def _totals(curve: DataFrame, by: list[str]) -> DataFrame:
@@ -102,8 +102,9 @@ def top_k(
     near = scored.join(cut, by).filter(F.col(score) >= F.col("_cut")).withColumn("_chunk", tie_chunk)
     tied = near.filter(F.col(score) == F.col("_cut"))
     before = carried(tied, by, "_chunk", {"_seen": (F.count(F.lit(1)), "sum")})
-    place = F.row_number().over(chunk_window(by, "_chunk", [F.col(tie)])) + F.coalesce(F.col("_seen"), F.lit(0))
-    taken = tied.join(before, [*by, "_chunk"]).withColumn("_place", place).filter(F.col("_place") <= F.col("_room"))
+    placed = tied.withColumn("_place", F.row_number().over(chunk_window(by, "_chunk", [F.col(tie)])))
+    rank = F.col("_place") + F.coalesce(F.col("_seen"), F.lit(0))
+    taken = placed.join(before, [*by, "_chunk"]).filter(rank <= F.col("_room"))
     above = near.filter(F.col(score) > F.col("_cut"))
     return above.select(*scored.columns).unionByName(taken.select(*scored.columns))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from convoy.operators.scan import carried, chunk_window
+from convoy.operators.scan import chunk_window
 
 SKIP_POLICIES = ("past_last", "next_row")
 
@@ -24,45 +24,60 @@ def recurring(
 
     A non-matching event, or a wait of ``within`` or longer, ends the current run of matches.
     ``past_last`` reports disjoint pairs (every even position of a run), ``next_row`` every
-    position from the second on. A run's position is "matches so far" minus "matches before
-    the run began": a running sum and a running maximum, both carried across time chunks.
+    position from the second on. Positions are counted inside time chunks, in parallel also for
+    one busy key; one summary row per chunk then tells how long the run was that reached into it.
     """
     if skip not in SKIP_POLICIES:
         raise ValueError(f"skip must be one of {SKIP_POLICIES}")
-    base = events.withColumn("_match", F.coalesce(match, F.lit(False))).withColumn("_chunk", chunk)
     ordering = [F.col(c) for c in order]
     point = F.struct(F.col(ts).alias("ts"), F.col("_match").alias("match"))
-    before = carried(
-        base, keys, "_chunk",
-        {
-            "_matches_before": (F.sum(F.col("_match").cast("long")), "sum"),
-            "_last_point": (F.max_by(point, F.struct(*ordering)), "last"),
-        },
-    )
+    near = F.expr(f"INTERVAL {within}")
     window = chunk_window(keys, "_chunk", ordering)
     so_far = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = (
-        base.join(before, [*keys, "_chunk"])
-        .withColumn("_prev", F.coalesce(F.lag(point).over(window), F.col("_last_point")))
-        .withColumn(
-            "_count",
-            F.coalesce(F.col("_matches_before"), F.lit(0)) + F.sum(F.col("_match").cast("long")).over(so_far),
-        )
-    )
-    continues = F.col("_prev.match") & (F.col(ts) - F.col("_prev.ts") < F.expr(f"INTERVAL {within}"))
-    rows = rows.withColumn(
-        "_run_base", F.when(F.col("_match") & ~F.coalesce(continues, F.lit(False)), F.col("_count") - 1)
-    ).drop("_prev", "_last_point", "_matches_before")
-    bases = carried(rows, keys, "_chunk", {"_base_before": (F.max("_run_base"), "max")})
-    position = F.col("_count") - F.greatest(F.max("_run_base").over(so_far), F.col("_base_before"))
+    rows = events.withColumn("_match", F.coalesce(match, F.lit(False))).withColumn("_chunk", chunk)
+    rows = rows.withColumns({"_prev": F.lag(point).over(window), "_index": F.row_number().over(window)})
+    continues = F.col("_match") & F.col("_prev.match") & (F.col(ts) - F.col("_prev.ts") < near)
+    rows = rows.withColumn("_start", F.when(~F.coalesce(continues, F.lit(False)), F.col("_index")))
+    rows = rows.withColumn("_run_start", F.max("_start").over(so_far))
+    rows = rows.withColumns(
+        {
+            "_place": F.when(F.col("_match"), F.col("_index") - F.col("_run_start") + 1).otherwise(0).cast("long"),
+            # the run that begins with the chunk's first event may have begun in an earlier chunk
+            "_leading": F.col("_match") & (F.col("_run_start") == 1),
+        }
+    ).drop("_prev", "_start", "_run_start")
+    reaching = _run_lengths_before(rows, keys, ordering, point, near)
+    position = F.col("_place") + F.when(F.col("_leading"), F.col("_reaching")).otherwise(0)
     hit = F.col("_match") & (F.col("_position") >= 2)
     if skip == "past_last":
         hit = hit & (F.col("_position") % 2 == 0)
     return (
-        rows.join(bases, [*keys, "_chunk"])
+        rows.join(reaching, [*keys, "_chunk"])
         .withColumn("_position", position)
         .filter(hit)
-        .drop("_match", "_chunk", "_count", "_run_base", "_base_before", "_position")
+        .drop("_match", "_chunk", "_index", "_place", "_leading", "_reaching", "_position")
+    )
+
+
+def _run_lengths_before(rows: DataFrame, keys: list[str], ordering: list[Column], point: Column, near: Column) -> DataFrame:
+    """Per chunk the length of the run of earlier chunks that its first event continues, else 0."""
+    at = F.struct(*ordering)
+    ends = rows.groupBy(*keys, "_chunk").agg(
+        F.min_by(point, at).alias("_first"), F.max_by(F.struct(point.alias("point"), "_place", "_leading"), at).alias("_last")
+    )
+    by_chunk = Window.partitionBy(*keys).orderBy("_chunk")
+    before = F.lag("_last").over(by_chunk)
+    linked = F.col("_first.match") & F.col("_before.point.match") & (F.col("_first.ts") - F.col("_before.point.ts") < near)
+    linked_ends = ends.withColumn("_before", before).withColumn("_linked", F.coalesce(linked, F.lit(False)))
+    # a chunk that is one single linked run passes the length on; any other chunk starts a new sum
+    passes = F.col("_linked") & F.col("_last._leading")
+    groups = linked_ends.withColumn(
+        "_group", F.sum(F.when(passes, 0).otherwise(1)).over(by_chunk.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    )
+    in_group = Window.partitionBy(*keys, "_group").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lengths = groups.withColumn("_length", F.sum("_last._place").over(in_group))
+    return lengths.select(
+        *keys, "_chunk", F.when(F.col("_linked"), F.lag("_length").over(by_chunk)).otherwise(0).alias("_reaching")
     )
 
 

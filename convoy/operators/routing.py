@@ -244,8 +244,8 @@ def assign_bays(
     ranked = requests.select(order, "lat", "lon").filter(F.col("lat").isNotNull() & F.col("lon").isNotNull())
     ranked = ranked.withColumn("_chunk", order_chunk)
     before = carried(ranked, [], "_chunk", {"_before": (F.count(F.lit(1)), "sum")})
-    place = F.row_number().over(chunk_window([], "_chunk", [F.col(order)])) + F.coalesce(F.col("_before"), F.lit(0))
-    placed = ranked.join(before, "_chunk").withColumn("_place", place).filter(F.col("_place") <= total)
+    inside = ranked.withColumn("_place", F.row_number().over(chunk_window([], "_chunk", [F.col(order)])))
+    placed = inside.join(before, "_chunk").filter(F.col("_place") + F.coalesce(F.col("_before"), F.lit(0)) <= total)
     local = stats["n"] <= local_limit
     contenders = placed.select(order, "lat", "lon")
     if local:

@@ -55,11 +55,16 @@ def chunk_window(keys: list[str], chunk: str, order: list[Column]):
 def running_max_before(
     df: DataFrame, keys: list[str], chunk: str, order: list[Column], value: str, out: str
 ) -> DataFrame:
-    """Adds ``out``: the largest ``value`` among strictly earlier rows of the key (NULL for the first)."""
+    """Adds ``out``: the largest ``value`` among strictly earlier rows of the key (NULL for the first).
+
+    The window inside chunks comes first: it leaves the rows partitioned and sorted by
+    (keys, chunk), so the join with the carried values needs neither a shuffle nor a sort of them.
+    """
     carry = carried(df, keys, chunk, {"_carried": (F.max(value), "max")})
     inside = chunk_window(keys, chunk, order).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        df.join(carry, [*keys, chunk])
-        .withColumn(out, F.greatest(F.max(value).over(inside), F.col("_carried")))
-        .drop("_carried")
+        df.withColumn("_inside", F.max(value).over(inside))
+        .join(carry, [*keys, chunk])
+        .withColumn(out, F.greatest("_inside", "_carried"))
+        .drop("_inside", "_carried")
     )
