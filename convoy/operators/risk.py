@@ -20,9 +20,12 @@ def _first_per(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
 
 
 def latest_model(predictions: DataFrame) -> DataFrame:
-    """Model version of the newest prediction of each tenant (highest version on ties)."""
-    newest = F.max_by("model_version", F.struct("created_at", "model_version"))
-    return predictions.groupBy("tenant_id").agg(newest.alias("model_version"))
+    """Model version of the newest prediction of each tenant (highest version on ties).
+
+    Predictions are first hashed down to one row per version; only those few rows are compared.
+    """
+    versions = predictions.groupBy("tenant_id", "model_version").agg(F.max("created_at").alias("_newest"))
+    return versions.groupBy("tenant_id").agg(F.max_by("model_version", F.struct("_newest", "model_version")).alias("model_version"))
 
 
 def latest_risk(predictions: DataFrame, tie: str, horizon: int = HORIZON_DAYS) -> DataFrame:
