@@ -16,14 +16,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from convoy.operators import evaluate
-from convoy.operators.features import NUMERIC_FEATURES, lead_days
+from convoy.operators.features import lead_days
 from convoy.operators.rules import baseline_flag
 
 # Training settings.
 MIN_CALIBRATION_ROWS = 10
 IMPORTANCE_ROWS = 2000
 IMPORTANCE_REPEATS = 5
-MIN_FEATURE_LABEL = "any_failure_label"
+LABEL = "any_failure_label"
 
 
 @dataclass
@@ -128,7 +128,7 @@ def fleet_metrics(tested: DataFrame, types: list[str], thresholds: dict[str, flo
     for name in types:
         flagged = flagged | (F.col(name) >= F.lit(thresholds[name]))
     rows = evaluate.widest_risk(baseline_flag(tested), types).withColumns(
-        {"scope": F.lit("fleet"), "flagged": flagged.cast("int"), "score": F.col("fleet_risk"), "label": F.col(MIN_FEATURE_LABEL)}
+        {"scope": F.lit("fleet"), "flagged": flagged.cast("int"), "score": F.col("fleet_risk"), "label": F.col(LABEL)}
     )
     top = evaluate.precision_at_k(rows, ["scope"], "row_id", F.floor(F.col("row_id") / F.lit(tie_chunk_width)), k)
     model = evaluate.cost_saved(rows, ["scope"], F.col("flagged"), F.col("label")).withColumnRenamed("saved", "saved_model")
@@ -197,9 +197,3 @@ def permutation_importance(tested: DataFrame, model: TypeModel, columns: list[st
     return with_base.filter("f >= 0").select(
         F.element_at(names, F.col("f") + 1).alias("feature"), (F.col("base") - F.col("ap")).alias("importance")
     )
-
-
-__all__ = [
-    "NUMERIC_FEATURES", "TypeModel", "assemble", "backtest", "fleet_metrics", "long_form", "permutation_importance",
-    "score", "train", "type_metrics",
-]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from convoy.operators.dedup import drop_stale
+from convoy.operators.dedup import drop_stale, first_arrival
 
 
 def fold_twin(
@@ -43,8 +43,6 @@ def fold_twin(
 
 def merge_latest(old: DataFrame | None, new: DataFrame, key: str, order: str) -> DataFrame:
     """Upsert of whole rows: the newest per key of the stored and the incoming table."""
-    from convoy.operators.dedup import first_arrival
-
     both = new if old is None else old.unionByName(new, allowMissingColumns=True)
     return first_arrival(both, [key], [F.col(order).desc_nulls_last()])
 

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from convoy.operators import rules, scan
+from convoy.operators import rules
 from convoy.plans import derive as d
 from convoy.plans import telemetry as t
 from convoy.plans.registry import query
