@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from convoy.llm.common import documents
 from convoy.llm.fmindex import FmIndex
@@ -24,8 +25,7 @@ SHARD = 1_000_000
 BLOCK = 1_000_000
 #: Word bytes as they are, A-Z lower-cased, all other ASCII a space: what is left between spaces is a word.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-SPAN = "array<struct<first: long, last: long>>"
-FOUND = f"doc_id long, n_words long, n_hit long, item_ids array<string>, spans {SPAN}"
+SPANS = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType())]))
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -133,23 +133,17 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[tupl
         yield block
 
 
-def find_items(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
-               item_text: str = "text") -> DataFrame:
-    """doc_id, n_words, n_hit (words inside an occurrence), item_ids (of items found, sorted as text), spans, per document.
-
-    Items go out in blocks of bounded size, each searched in the same scan, so a benchmark of any size fits. Null texts
-    and texts without a word have 0 words and no hits; items without a word have no window; a null item id marks words
-    but is not named; repeated items and documents are as they are; an empty benchmark leaves all documents clean; other
-    columns play no part.
-    """
-    rows = documents(docs, doc_id, text).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(0).cast("long").alias("n_words"),
-                                                F.expr("cast(array() as array<string>)").alias("item_ids"), F.expr(f"cast(array() as {SPAN})").alias("spans"))
+def _search(keyed: DataFrame, benchmark: DataFrame, window: int, item_id: str, item_text: str) -> DataFrame:
+    """(key of any type, text) -> key, n_words, n_hit, item_ids, spans; a pass of the scan for each block of items."""
+    key = T.StructField("key", keyed.schema["key"].dataType)
+    found = [T.StructField("n_words", T.LongType()), T.StructField("item_ids", T.ArrayType(T.StringType())), T.StructField("spans", SPANS)]
+    between, last = T.StructType([key, T.StructField("text", T.StringType()), *found]), T.StructType([key, T.StructField("n_hit", T.LongType()), *found])
     span_type = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
-    blocks = _blocks(benchmark, item_id, item_text)
+    rows, blocks = keyed.select("key", "text"), _blocks(benchmark, item_id, item_text)
     block, k = next(blocks, []), 0
     while block is not None:
         following = next(blocks, None)
-        more, shared = following is not None, docs.sparkSession.sparkContext.broadcast(block)
+        more, shared = following is not None, keyed.sparkSession.sparkContext.broadcast(block)
 
         def run(batches, items=shared, more=more, k=k):
             phrases = Phrases(items.value, window)
@@ -162,20 +156,30 @@ def find_items(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, doc_
                     if k:
                         ids = [sorted({*a, *b}) for a, b in zip(ids, was.column(3).to_pylist())]
                         spans = [merged(a + [(s["first"], s["last"]) for s in b]) for a, b in zip(spans, was.column(4).to_pylist())]
+                    n_hit = pa.array([sum(b - a + 1 for a, b in s) for s in spans], pa.int64())
                     hit = pa.array([[{"first": a, "last": b} for a, b in s] for s in spans], span_type)
-                    if more:
-                        yield pa.RecordBatch.from_arrays([was.column(0), was.column(1), pa.array(n, pa.int64()), pa.array(ids, pa.list_(pa.string())), hit],
-                                                         names=["doc_id", "text", "n_words", "item_ids", "spans"])
-                    else:
-                        n_hit = pa.array([sum(b - a + 1 for a, b in s) for s in spans], pa.int64())
-                        yield pa.RecordBatch.from_arrays([was.column(0), pa.array(n, pa.int64()), n_hit, pa.array(ids, pa.list_(pa.string())), hit],
-                                                         names=["doc_id", "n_words", "n_hit", "item_ids", "spans"])
-
-        rows = rows.mapInArrow(run, f"doc_id long, text string, n_words long, item_ids array<string>, spans {SPAN}" if more else FOUND)
+                    yield pa.RecordBatch.from_arrays(
+                        [was.column(0), was.column(1) if more else n_hit, pa.array(n, pa.int64()), pa.array(ids, pa.list_(pa.string())), hit],
+                        names=["key", "text" if more else "n_hit", "n_words", "item_ids", "spans"])
+
+        rows = rows.mapInArrow(run, between if more else last)
         block, k = following, k + 1
     return rows
 
 
+def find_items(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
+               item_text: str = "text") -> DataFrame:
+    """doc_id, n_words, n_hit (words inside an occurrence), item_ids (of items found, sorted as text), spans, per document.
+
+    Items go out in blocks of bounded size, each searched in the same scan, so a benchmark of any size fits. Null texts
+    and texts without a word have 0 words and no hits; items without a word have no window; a null item id marks words
+    but is not named; repeated items and documents are as they are; an empty benchmark leaves all documents clean; other
+    columns play no part.
+    """
+    keyed = documents(docs, doc_id, text).withColumnRenamed("doc_id", "key")
+    return _search(keyed, benchmark, window, item_id, item_text).withColumnRenamed("key", "doc_id")
+
+
 def contaminated(n_hit: Column, n_words: Column) -> Column:
     """At least a twentieth of the words stand in occurrences."""
     return (n_hit > 0) & (20 * n_hit >= n_words)
@@ -188,6 +192,14 @@ def report(docs: DataFrame, benchmark: DataFrame, **names) -> DataFrame:
         contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
 
 
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", item_id: str = "item_id",
+                   item_text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all their columns, that are not contaminated."""
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("key"), F.col(text).alias("text"))
+    found = _search(keyed, benchmark, window, item_id, item_text)
+    return found.where(~contaminated(F.col("n_hit"), F.col("n_words"))).select("key.*")
+
+
 #: DuckDB form of :func:`report`.
 SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
