@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from convoy.llm import classifier, decontaminate, language, mixing, quality_rules, simhash, tokens
+from convoy.llm import classifier, decontaminate, extraction, language, mixing, quality_rules, simhash, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +29,10 @@ def op2_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op4_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.main_text(_read(spark, sf_dir, "pages"))
+
+
 def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_table(_read(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -52,6 +56,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_classifier": op2_classifier,
+    "op4_extraction": op4_extraction,
     "op5_tokens": op5_tokens,
     "op6_language": op6_language,
     "op8_mixing": op8_mixing,

@@ -96,7 +96,17 @@ def _stars(members: DataFrame, key: str) -> DataFrame:
     return members.join(stored(least, "least"), key).where("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b")).distinct()
 
 
-def links(nodes: DataFrame, distance: int = 4, crowd: int = 32) -> DataFrame:
+def _first_meeting(key: Column, a: Column, b: Column) -> Column:
+    """Of the keys at which two fingerprints meet, true at one only: in the low half if they meet there, and there at the
+    smaller of two keys that mirror each other, or at the half itself when it is equal."""
+    side, at = F.shiftright(key, 32), key.bitwiseAND(F.lit(0xFFFFFFFF))
+    low = a.bitwiseXOR(b).bitwiseAND(F.lit(0xFFFFFFFF))
+    half = F.when(side == 0, a.bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(F.shiftrightunsigned(a, 32))
+    differ = F.when(side == 0, low).otherwise(F.shiftrightunsigned(a.bitwiseXOR(b), 32))
+    return ((side == 0) | (F.bit_count(low) > 2)) & F.when(differ == 0, at == half).otherwise(at < at.bitwiseXOR(differ))
+
+
+def links(nodes: DataFrame, distance: int = 4, crowd: int = 1024) -> DataFrame:
     """Different fingerprints (column fp) -> (a, b) edges whose components are those of all pairs within ``distance`` bits.
 
     Halves first: neighbours share a key of a half's ball. A key with up to ``crowd`` fingerprints is settled by
@@ -109,15 +119,15 @@ def links(nodes: DataFrame, distance: int = 4, crowd: int = 32) -> DataFrame:
     met = stored(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "met")
     rows = stored(keys.join(met, "key").select("key", "n", "fp"), "meeting")
     groups = rows.where(F.col("n") <= crowd).groupBy("key").agg(F.collect_list("fp").alias("fps"))
-    near = groups.select("fps", F.explode("fps").alias("a")).select(
-        "a", F.explode(F.filter("fps", lambda b: (b > F.col("a")) & (F.bit_count(b.bitwiseXOR(F.col("a"))) <= distance))).alias("b"))
+    near = groups.select("key", "fps", F.explode("fps").alias("a")).select(
+        "a", F.explode(F.filter("fps", lambda b: (b > F.col("a")) & (F.bit_count(b.bitwiseXOR(F.col("a"))) <= distance) & _first_meeting(F.col("key"), F.col("a"), b))).alias("b"))
     crowded = stored(rows.where(F.col("n") > crowd).select("fp").distinct(), "crowded")
     ball = _masks(BITS, distance // 2)
     variants = crowded.select("fp", F.explode(F.transform(ball, lambda m: F.col("fp").bitwiseXOR(m))).alias("variant"))
     return near.distinct().union(_stars(variants, "variant"))
 
 
-def groups(prints: DataFrame, distance: int = 4, crowd: int = 32) -> DataFrame:
+def groups(prints: DataFrame, distance: int = 4, crowd: int = 1024) -> DataFrame:
     """(doc_id, fp) -> (doc_id, fp, component_id): the smallest id reachable over links of at most ``distance`` bits.
 
     ``distance`` must be a multiple of 4. Null ids get a component like any row, but are not the smallest id; a
@@ -133,13 +143,13 @@ def groups(prints: DataFrame, distance: int = 4, crowd: int = 32) -> DataFrame:
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, crowd: int = 32, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, crowd: int = 1024, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every row. Null texts and texts without words have fingerprint 0."""
     found = groups(fingerprints(docs, width, doc_id, text), distance, crowd)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def first_of_each(docs: DataFrame, width: int = 4, distance: int = 4, crowd: int = 32, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def first_of_each(docs: DataFrame, width: int = 4, distance: int = 4, crowd: int = 1024, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of ``docs`` per component, all its columns: that with the smallest id; rows without id only where no id is."""
     found = stored(groups(fingerprints(docs, width, doc_id, text), distance, crowd), "found")
     keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("keep_id")).distinct()
