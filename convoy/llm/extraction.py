@@ -52,14 +52,13 @@ def features(nodes: list[Node]) -> list[list[str]]:
     out = []
     for k, node in enumerate(nodes):
         if not node.tag:
-            words = node.text.split()
-            ends = sum(w[-1] in ".!?…" for w in words)
-            out.append(["text", f"words{min(6, len(words).bit_length())}", f"ends{min(2, ends)}"] + ["copyright"] * ("©" in node.text) + ["in_link"] * in_link[k])
+            # its length says little once the element it stands in is known
+            out.append(["text"] + ["copyright"] * ("©" in node.text) + ["in_link"] * in_link[k])
             continue
         found = ["inline" if node.tag in INLINE else "block"]
         if node.tag in LANDMARK:
             found.append(f"{LANDMARK[node.tag]}_tag")
-        elif node.tag in ("p", "h1", "h2", "h3", "h4", "blockquote", "pre", "ul", "ol", "li", "a", "table", "body"):
+        elif node.tag in ("p", "a", "body"):
             found.append(f"tag_{node.tag}")
         if node.names:
             found += ["good_name"] * bool(GOOD.search(node.names)) + ["bad_name"] * bool(BAD.search(node.names)) + ["hidden"] * bool(HIDDEN.search(node.names))
@@ -121,17 +120,15 @@ class Model:
 
 
 def fit(pages: list[tuple[list[Node], list[int]]], steps: int = 12, pull: float = 1.0) -> Model:
-    """Potentials from pages whose nodes are labelled 0 or 1, by pseudo-likelihood: one logistic regression of a node's
-    label on its features and, by kind, on its parent's label. What the parent explains, the features need not."""
-    names: dict[str, int] = {"bias": 0} | {f"parent {k}": i + 1 for i, k in enumerate(KINDS)}
-    rows, truth = [], []
+    """Potentials from pages whose nodes are labelled 0 or 1: logistic regression, and smoothed label pairs by kind."""
+    names: dict[str, int] = {"bias": 0}
+    rows, truth, pairs = [], [], {k: np.ones((2, 2)) for k in KINDS}
     for nodes, labels in pages:
         for node, found, label in zip(nodes, features(nodes), labels):
-            row = [0] + [names.setdefault(f, len(names)) for f in found]
-            if node.parent >= 0 and labels[node.parent]:
-                row.append(names[f"parent {kind(node)}"])
-            rows.append(row)
+            rows.append([0] + [names.setdefault(f, len(names)) for f in found])
             truth.append(label)
+            if node.parent >= 0:
+                pairs[kind(node)][labels[node.parent], label] += 1
     x = np.zeros((len(rows), len(names)))
     for k, row in enumerate(rows):
         x[k, row] = 1
@@ -140,7 +137,11 @@ def fit(pages: list[tuple[list[Node], list[int]]], steps: int = 12, pull: float
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         curve = (x * (p * (1 - p))[:, None]).T @ x + pull * np.eye(len(w))
         w -= np.linalg.solve(curve, x.T @ (p - y) + pull * w)
-    pair = {k: ((1.0, 1.0), (1.0, float(np.exp(w[names[f"parent {k}"]])))) for k in KINDS}
+    # given the parent, relative to how common the child's label is: the own potential has that already
+    pair = {}
+    for name, n in pairs.items():
+        given, alone = n / n.sum(axis=1, keepdims=True), n.sum(axis=0) / n.sum()
+        pair[name] = tuple(map(tuple, (given / alone).tolist()))
     return Model({name: float(w[k]) for name, k in names.items()}, pair)
 
 
