@@ -180,6 +180,7 @@ BESIDE = [
     '<div id="comments"><ul><li><p>{t}</p></li><li><p>{t}</p></li></ul></div>', '<div class="related"><ul><li><a href=#>{t}</a></li><li><a href=#>{t}</a></li></ul></div>',
     '<div class="footer"><p>© {t}</p></div>', "<footer><p>{t}</p></footer>", '<div class="newsletter"><p>{t}</p></div>', '<div class="share"><a href=#>{s}</a></div>',
 ]
+WITHIN = ["<h2>{s}</h2>", "<ul><li>{t}</li><li>{t}</li></ul>", "<blockquote><p>{t}</p></blockquote>", "<h3>{s}</h3><ol><li>{s}</li></ol>", "<table><tr><td>{s}</td><td>{s}</td></tr></table>", "<figure><figcaption>{t}</figcaption></figure>"]
 _ARTICLE = re.compile(r"<(article|main)\b[^>]*>(.*?)</\1\s*>", re.S | re.I)
 
 
@@ -197,9 +198,12 @@ def layouts(pages: list[str], each: int = LAYOUTS, seed: int = 5) -> list[tuple[
             def fill(part: str) -> str:
                 return re.sub(r"\{([ts])\}", lambda m: (t := rng.choice(texts)) if m[1] == "t" else " ".join(t.split()[:2]) if (t := rng.choice(texts)) else "", part)
 
+            # articles link words, too, and have lists, headings and quotes of their own
+            inner = re.sub(r"(?<=\s)(\w+ \w+)(?=\s)", lambda m: f"<a href=#>{m[1]}</a>" if rng.random() < 0.02 else m[1], body)
+            inner = re.sub(r"</p>", lambda m: m[0] + (fill(rng.choice(WITHIN)) if rng.random() < 0.2 else ""), inner)
             beside = [fill(b) for b in rng.sample(BESIDE, 6)]
             cut = rng.randint(0, 4)
-            page = f"<html><body>{''.join(beside[:cut])}<x-article>{rng.choice(HOLDERS).replace('{a}', body)}</x-article>{''.join(beside[cut:])}</body></html>"
+            page = f"<html><body>{''.join(beside[:cut])}<x-article>{rng.choice(HOLDERS).replace('{a}', inner)}</x-article>{''.join(beside[cut:])}</body></html>"
             nodes = parse(page)
             inside = [False] * len(nodes)
             for k, node in enumerate(nodes):
