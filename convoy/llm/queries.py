@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from convoy.llm import classifier, decontaminate, extraction, language, mixing, quality_rules, simhash, tokens
+from convoy.llm import classifier, decontaminate, extraction, language, lines, mixing, quality_rules, simhash, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,6 +42,11 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.classify(_read(spark, sf_dir, "documents"))
 
 
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.report(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_repeats", "n_near", "n_kept", F.array_join("removed", ",").alias("removed_lines"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -59,6 +65,7 @@ QUERIES: dict[str, Query] = {
     "op4_extraction": op4_extraction,
     "op5_tokens": op5_tokens,
     "op6_language": op6_language,
+    "op7_lines": op7_lines,
     "op8_mixing": op8_mixing,
     "op9_decontaminate": op9_decontaminate,
     "op10_simhash": op10_simhash,
@@ -66,6 +73,7 @@ QUERIES: dict[str, Query] = {
 
 SQL: dict[str, str] = {
     "op1_quality_rules": quality_rules.SQL,
+    "op7_lines": lines.SQL,
     "op8_mixing": mixing.SQL,
     "op9_decontaminate": decontaminate.SQL,
 }
