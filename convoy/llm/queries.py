@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convoy.llm import classifier, decontaminate, extraction, language, lines, mixing, quality_rules, simhash, tokens
+from convoy.llm import classifier, decontaminate, extraction, language, lines, mixing, passages, quality_rules, simhash, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +30,10 @@ def op2_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(_read(spark, sf_dir, "documents"))
+
+
 def op4_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.main_text(_read(spark, sf_dir, "pages"))
 
@@ -62,6 +66,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_classifier": op2_classifier,
+    "op3_passages": op3_passages,
     "op4_extraction": op4_extraction,
     "op5_tokens": op5_tokens,
     "op6_language": op6_language,
