@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from convoy.llm.common import documents, stored, words
+from convoy.llm.common import WORD, documents, stored, words
 
 #: Lines of fewer words are compared exactly only: one word is too much of them.
 LEAST_WORDS = 5
@@ -31,13 +31,15 @@ def _key(found: Column, frame: Column, at: Column, run: Column) -> Column:
 
 
 def line_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, line_no, words of every line with a word."""
+    """doc_id, line_no, line of every line with a word."""
     rows = documents(docs, doc_id, text).select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
-    return rows.select("doc_id", "line_no", words(F.col("line")).alias("words")).where(F.size("words") > 0)
+    return rows.where(F.col("line").rlike(WORD))
 
 
 def _identified(lines: DataFrame) -> DataFrame:
-    return lines.select("*", F.xxhash64("words").alias("h"), F.xxhash64(F.lit(1), "words").alias("h2"), F.size("words").alias("n"))
+    """Plus the hashes of the line's words in order, their number, and two hashes of the whole."""
+    hashed = lines.select("*", F.transform(words(F.col("line")), lambda w: F.xxhash64(w)).alias("words"))
+    return hashed.select("*", F.xxhash64("words").alias("h"), F.xxhash64(F.lit(1), "words").alias("h2"), F.size("words").alias("n"))
 
 
 def _shared(entries: DataFrame) -> DataFrame:
@@ -68,9 +70,12 @@ def near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[D
     different = stored(table.groupBy("h", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.first("tries").alias("tries")), "different")
     tries = different.select("h", "h2", "first", F.explode("tries").alias("e")).select("h", "h2", "first", "e.*")
     some = stored(_shared(tries).groupBy("h", "h2").agg(F.min("first").alias("first"), F.collect_list(F.struct("frame", "at", "run")).alias("es")), "some")  # four at most
-    texts = lines.select("words", F.col("h").alias("th"), F.col("h2").alias("th2"), F.struct("doc_id", "line_no").alias("place"))
-    entries = some.join(texts, (F.col("h") == F.col("th")) & (F.col("h2") == F.col("th2")) & F.col("first").eqNullSafe(F.col("place")))
-    entries = entries.dropDuplicates(["h", "h2"]).select("h", "h2", "first", "words", F.explode("es").alias("e")).select("h", "h2", "first", "words", "e.*")
+    places = line_table(docs, doc_id, text).select("line", F.struct("doc_id", "line_no").alias("place"))
+    # stored before the filter, which Spark would otherwise make part of the join and evaluate for every line
+    texts = stored(some.withColumnRenamed("h", "kh").withColumnRenamed("h2", "kh2").join(places, F.col("first").eqNullSafe(F.col("place"))), "texts")
+    found = _identified(texts)
+    entries = found.where((F.col("h") == F.col("kh")) & (F.col("h2") == F.col("kh2"))).dropDuplicates(["h", "h2"])
+    entries = entries.select("h", "h2", "first", "words", F.explode("es").alias("e")).select("h", "h2", "first", "words", "e.*")
     entries = stored(entries, "entries")
     while not entries.where("run > 1").isEmpty():
         part = F.ceil(F.col("run") / SPLIT).cast("int")
@@ -87,7 +92,7 @@ def near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[D
     left, right = _rest(F.col("words"), F.col("frame"), F.col("at"), F.col("run"))
     keyed = stored(final.select("*", F.xxhash64("frame", "at", "run", left, right).alias("key"), F.concat(left, right).alias("rest")).drop("words"), "final")
     earliest = stored(keyed.groupBy("key").agg(F.min(F.struct("first", "rest")).alias("e"), F.count("*").alias("m")).where("m > 1").select("key", "e"), "earliest")
-    links = keyed.join(earliest, "key").where((F.col("first") != F.col("e.first")) & (F.col("rest") == F.col("e.rest")))  # the words themselves agree
+    links = keyed.join(earliest, "key").where((F.col("first") != F.col("e.first")) & (F.col("rest") == F.col("e.rest")))  # what is left agrees word by word
     best = links.groupBy("h", "h2").agg(F.min("e.first").alias("of"))
     return table.select("doc_id", "line_no", "h", "h2"), different.select("h", "h2", "first").join(stored(best, "best"), ["h", "h2"], "left")
 
