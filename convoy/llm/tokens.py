@@ -63,14 +63,14 @@ class Encoder:
         self.older: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind).tobytes()
 
     def learn(self, items: list[str]) -> None:
         """Ids of pieces: an item stands for itself with a space before it, or starts with its line break."""
         for k in range(0, len(items), 20_000):
             part = items[k : k + 20_000]
             text = "".join([w if w[:1] == "\n" else " " + w for w in part])
-            ids = np.array(self.tok.encode(text, add_special_tokens=False).ids, self.kind)
+            ids = np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
             ends = np.cumsum(np.fromiter((len(w.encode()) + (w[:1] != "\n") for w in part), np.int64, len(part)))
             cuts = np.searchsorted(np.cumsum(self.n_bytes[ids]), ends, side="left") + 1
             raw, size, last = ids.tobytes(), self.kind.itemsize, 0
