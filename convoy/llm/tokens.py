@@ -12,7 +12,6 @@ import json
 import os
 import uuid
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +60,7 @@ class Encoder:
         self.end = np.array([end_id], self.kind).tobytes()
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind).tobytes()
@@ -101,9 +101,10 @@ class Encoder:
         for w in ended:
             known[w] = known[w[:-1]] + self.mark(w[-1])
 
-    @lru_cache(maxsize=16)
     def mark(self, sign: str) -> bytes:
-        return self.whole(sign)
+        if sign not in self.marks:
+            self.marks[sign] = self.whole(sign)
+        return self.marks[sign]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         cut: list[list[str] | None] = []
@@ -121,10 +122,14 @@ class Encoder:
             for text, items in zip(texts, cut)]
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str, end_id: int) -> Encoder:
-    """One per process."""
-    return Encoder(path, end_id)
+    """One per process and file, kept with the library it wraps: functions reach the workers by value, without globals."""
+    import tokenizers
+
+    kept = tokenizers.__dict__.setdefault("_encoders", {})
+    if (path, end_id) not in kept:
+        kept[path, end_id] = Encoder(path, end_id)
+    return kept[path, end_id]
 
 
 def chunks(texts: list[str]):
