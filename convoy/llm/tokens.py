@@ -110,8 +110,11 @@ class Encoder:
         cut: list[list[str] | None] = []
         for text in texts:
             items = text.replace("\n", " \n").split(" ") if self.pieces else None
-            if items is not None and ("" in items or len(text.split()) != len(items) or items[0][0] == "\n" or any(s in text for s in self.special)):
-                items = None
+            if items is not None:
+                plain = text.split()
+                single = len(plain) == len(items) and len("".join(plain)) + text.count(" ") + text.count("\n") == len(text)
+                if not single or items[0][0] == "\n" or any(s in text for s in self.special):
+                    items = None  # other white space, or more than one between words
             cut.append(items)
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
