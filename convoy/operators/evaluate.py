@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from convoy.operators.scan import carried, chunk_window
+from convoy.operators.scan import carried, same
 
 # Cost of a breakdown and of an inspection.
 COST_BREAKDOWN = 150_000
@@ -34,15 +34,23 @@ def score_curve(scored: DataFrame, by: list[str], score: str = "score", label: s
     above = carried(
         points, by, "_chunk", {"_n0": (F.sum("n"), "sum"), "_p0": (F.sum("pos"), "sum")}, descending=True
     )
-    window = chunk_window(by, "_chunk", [F.col(score).desc()]).rowsBetween(Window.unboundedPreceding, -1)
+    above = above.select(same(*by, "_chunk").alias("_same"), "_n0", "_p0")
+    window = Window.partitionBy("_same").orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")
+    points = points.withColumn("_same", same(*by, "_chunk"))
     inside = points.withColumns({"_n1": F.sum("n").over(window), "_p1": F.sum("pos").over(window)})
-    return inside.join(above, [*by, "_chunk"]).withColumns(
+    return inside.join(above, "_same").withColumns(
         {
             "n_above": F.coalesce(F.col("_n1"), zero) + F.coalesce(F.col("_n0"), zero),
             "pos_above": F.coalesce(F.col("_p1"), zero) + F.coalesce(F.col("_p0"), zero),
         }
-    ).drop("_chunk", "_n0", "_p0", "_n1", "_p1")
+    ).drop("_chunk", "_same", "_n0", "_p0", "_n1", "_p1")
+
+
+def _with(rows: DataFrame, per_group: DataFrame, by: list[str]) -> DataFrame:
+    """``rows`` with the columns of their group; a NULL group is a group."""
+    values = per_group.select(same(*by).alias("_same"), *[c for c in per_group.columns if c not in by])
+    return rows.withColumn("_same", same(*by)).join(values, "_same").drop("_same")
 
 
 def _totals(curve: DataFrame, by: list[str]) -> DataFrame:
@@ -62,7 +70,7 @@ def average_precision(scored: DataFrame, by: list[str], score: str = "score", la
 def best_f1(scored: DataFrame, by: list[str], score: str = "score", label: str = "label") -> DataFrame:
     """Threshold with the highest F1 (lowest such threshold on ties); 0.5 without positives."""
     curve = score_curve(scored, by, score, label)
-    curve = curve.join(_totals(curve, by).drop("rows"), by)
+    curve = _with(curve, _totals(curve, by).drop("rows"), by)
     tp = F.col("pos_above") + F.col("pos")
     precision = tp / (F.col("n_above") + F.col("n"))
     recall = F.try_divide(tp, F.col("positives"))
@@ -95,16 +103,18 @@ def top_k(
     wanted = F.col("positives") if k is None else F.lit(k).cast("long")
     totals = _totals(curve, by).select(*by, F.least(wanted, F.col("rows")).alias("_k"))
     cut = (
-        curve.join(totals, by)
+        _with(curve, totals, by)
         .filter((F.col("n_above") < F.col("_k")) & (F.col("n_above") + F.col("n") >= F.col("_k")))
         .select(*by, F.col(score).alias("_cut"), (F.col("_k") - F.col("n_above")).alias("_room"))
     )
-    near = scored.join(cut, by).filter(F.col(score) >= F.col("_cut")).withColumn("_chunk", tie_chunk)
+    near = _with(scored, cut, by).filter(F.col(score) >= F.col("_cut")).withColumn("_chunk", tie_chunk)
     tied = near.filter(F.col(score) == F.col("_cut"))
     before = carried(tied, by, "_chunk", {"_seen": (F.count(F.lit(1)), "sum")})
-    placed = tied.withColumn("_place", F.row_number().over(chunk_window(by, "_chunk", [F.col(tie)])))
+    placed = tied.withColumn("_same", same(*by, "_chunk"))
+    placed = placed.withColumn("_place", F.row_number().over(Window.partitionBy("_same").orderBy(tie)))
+    before = before.select(same(*by, "_chunk").alias("_same"), "_seen")
     rank = F.col("_place") + F.coalesce(F.col("_seen"), F.lit(0))
-    taken = placed.join(before, [*by, "_chunk"]).filter(rank <= F.col("_room"))
+    taken = placed.join(before, "_same").filter(rank <= F.col("_room"))
     above = near.filter(F.col(score) > F.col("_cut"))
     return above.select(*scored.columns).unionByName(taken.select(*scored.columns))
 

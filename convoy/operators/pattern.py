@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from convoy.operators.scan import chunk_window
+from convoy.operators.scan import same
 
 SKIP_POLICIES = ("past_last", "next_row")
 
@@ -26,15 +26,18 @@ def recurring(
     ``past_last`` reports disjoint pairs (every even position of a run), ``next_row`` every
     position from the second on. Positions are counted inside time chunks, in parallel also for
     one busy key; one summary row per chunk then tells how long the run was that reached into it.
+    NULL keys and chunks count as values.
     """
     if skip not in SKIP_POLICIES:
         raise ValueError(f"skip must be one of {SKIP_POLICIES}")
     ordering = [F.col(c) for c in order]
     point = F.struct(F.col(ts).alias("ts"), F.col("_match").alias("match"))
     near = F.expr(f"INTERVAL {within}")
-    window = chunk_window(keys, "_chunk", ordering)
+    window = Window.partitionBy("_at").orderBy(*ordering)
     so_far = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = events.withColumn("_match", F.coalesce(match, F.lit(False))).withColumn("_chunk", chunk)
+    rows = events.withColumn("_match", F.coalesce(match, F.lit(False))).withColumn(
+        "_at", F.struct(same(*keys).alias("key"), chunk.alias("chunk"))
+    )
     rows = rows.withColumns({"_prev": F.lag(point).over(window), "_index": F.row_number().over(window)})
     continues = F.col("_match") & F.col("_prev.match") & (F.col(ts) - F.col("_prev.ts") < near)
     rows = rows.withColumn("_start", F.when(~F.coalesce(continues, F.lit(False)), F.col("_index")))
@@ -46,26 +49,26 @@ def recurring(
             "_leading": F.col("_match") & (F.col("_run_start") == 1),
         }
     ).drop("_prev", "_start", "_run_start")
-    reaching = _run_lengths_before(rows, keys, ordering, point, near)
+    reaching = _run_lengths_before(rows, ordering, point, near)
     position = F.col("_place") + F.when(F.col("_leading"), F.col("_reaching")).otherwise(0)
     hit = F.col("_match") & (F.col("_position") >= 2)
     if skip == "past_last":
         hit = hit & (F.col("_position") % 2 == 0)
     return (
-        rows.join(reaching, [*keys, "_chunk"])
+        rows.join(reaching, "_at")
         .withColumn("_position", position)
         .filter(hit)
-        .drop("_match", "_chunk", "_index", "_place", "_leading", "_reaching", "_position")
+        .drop("_match", "_at", "_index", "_place", "_leading", "_reaching", "_position")
     )
 
 
-def _run_lengths_before(rows: DataFrame, keys: list[str], ordering: list[Column], point: Column, near: Column) -> DataFrame:
+def _run_lengths_before(rows: DataFrame, ordering: list[Column], point: Column, near: Column) -> DataFrame:
     """Per chunk the length of the run of earlier chunks that its first event continues, else 0."""
     at = F.struct(*ordering)
-    ends = rows.groupBy(*keys, "_chunk").agg(
+    ends = rows.groupBy("_at").agg(
         F.min_by(point, at).alias("_first"), F.max_by(F.struct(point.alias("point"), "_place", "_leading"), at).alias("_last")
     )
-    by_chunk = Window.partitionBy(*keys).orderBy("_chunk")
+    by_chunk = Window.partitionBy("_at.key").orderBy("_at.chunk")
     before = F.lag("_last").over(by_chunk)
     linked = F.col("_first.match") & F.col("_before.point.match") & (F.col("_first.ts") - F.col("_before.point.ts") < near)
     linked_ends = ends.withColumn("_before", before).withColumn("_linked", F.coalesce(linked, F.lit(False)))
@@ -74,10 +77,10 @@ def _run_lengths_before(rows: DataFrame, keys: list[str], ordering: list[Column]
     groups = linked_ends.withColumn(
         "_group", F.sum(F.when(passes, 0).otherwise(1)).over(by_chunk.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     )
-    in_group = Window.partitionBy(*keys, "_group").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    in_group = Window.partitionBy("_at.key", "_group").orderBy("_at.chunk").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     lengths = groups.withColumn("_length", F.sum("_last._place").over(in_group))
     return lengths.select(
-        *keys, "_chunk", F.when(F.col("_linked"), F.lag("_length").over(by_chunk)).otherwise(0).alias("_reaching")
+        "_at", F.when(F.col("_linked"), F.lag("_length").over(by_chunk)).otherwise(0).alias("_reaching")
     )
 
 

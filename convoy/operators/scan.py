@@ -21,6 +21,11 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
+def same(*columns: str | Column) -> Column:
+    """One value that equals itself also where a column is NULL: a key to group, window and join by."""
+    return F.struct(F.lit(True).alias("_"), *columns)
+
+
 _COMBINE = {"sum": F.sum, "max": F.max, "min": F.min, "last": F.last}
 
 
@@ -57,14 +62,16 @@ def running_max_before(
 ) -> DataFrame:
     """Adds ``out``: the largest ``value`` among strictly earlier rows of the key (NULL for the first).
 
-    The window inside chunks comes first: it leaves the rows partitioned and sorted by
-    (keys, chunk), so the join with the carried values needs neither a shuffle nor a sort of them.
+    NULL keys and chunks count as values. The window inside chunks comes first: it leaves the rows
+    partitioned and sorted by ``_same``, so the join with the carried values needs neither a shuffle
+    nor a sort of them.
     """
-    carry = carried(df, keys, chunk, {"_carried": (F.max(value), "max")})
-    inside = chunk_window(keys, chunk, order).rowsBetween(Window.unboundedPreceding, -1)
+    carry = carried(df, keys, chunk, {"_carried": (F.max(value), "max")}).select(same(*keys, chunk).alias("_same"), "_carried")
+    inside = Window.partitionBy("_same").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        df.withColumn("_inside", F.max(value).over(inside))
-        .join(carry, [*keys, chunk])
+        df.withColumn("_same", same(*keys, chunk))
+        .withColumn("_inside", F.max(value).over(inside))
+        .join(carry, "_same")
         .withColumn(out, F.greatest("_inside", "_carried"))
-        .drop("_inside", "_carried")
+        .drop("_inside", "_carried", "_same")
     )

@@ -63,6 +63,20 @@ def seq_guard(spark, sf_dir):
     return dedup.drop_stale(rows, ["vin", "msg_type"], "seq", arrival_order(), arrival_chunk()).select("vin", "msg_type", "seq", "arrival")
 
 
+_NULL_KINDS = "cast(CASE WHEN seq % 3 = 0 THEN NULL ELSE msg_type END AS varchar)"
+
+
+@query(
+    "seq_guard_nulls", "O-DED-3",
+    sql=f"""WITH {d.SIG}, {d.COPIES.replace('dup AS', 'dup0 AS', 1)}, dup AS (SELECT * REPLACE ({_NULL_KINDS} AS msg_type) FROM dup0), {_GUARD_SQL}
+        SELECT vin, msg_type, seq, arrival FROM ok""",
+)
+def seq_guard_nulls(spark, sf_dir):
+    """A third of the rows without a message type: they are one more kind."""
+    rows = d.with_copies(d.signals(spark, sf_dir)).withColumn("msg_type", F.when(F.col("seq") % 3 != 0, F.col("msg_type")))
+    return dedup.drop_stale(rows, ["vin", "msg_type"], "seq", arrival_order(), arrival_chunk()).select("vin", "msg_type", "seq", "arrival")
+
+
 _TWIN_FIELDS = ["coolant_c", "oil_kpa", "speed_kmh", "lat", "lon", "charge_v", "soh_pct", "dtc"]
 
 
@@ -170,6 +184,14 @@ def cep_pairs(spark, sf_dir):
     return _flat(_recurring(d.telemetry(spark, sf_dir), "past_last"))
 
 
+@query("cep_null_tenant", "O-STR-4", sql=f"WITH {d.TEL.replace('tel AS', 'tel0 AS', 1)}, tel AS (SELECT * REPLACE (nullif(tenant, (SELECT min(tenant) FROM tel0)) AS tenant) FROM tel0), {_RUNS_SQL} {_PAIR_SQL} AND p % 2 = 0")
+def cep_null_tenant(spark, sf_dir):
+    """One tenant without a name: its vehicles' pairs stay."""
+    rows = d.telemetry(spark, sf_dir)
+    least = rows.agg(F.min("tenant")).first()[0]
+    return _flat(_recurring(rows.withColumn("tenant", F.when(F.col("tenant") != least, F.col("tenant"))), "past_last"))
+
+
 @query("cep_every", "O-STR-4", sql=f"WITH {d.TEL}, {_RUNS_SQL} {_PAIR_SQL}")
 def cep_every(spark, sf_dir):
     return _flat(_recurring(d.telemetry(spark, sf_dir), "next_row"))
