@@ -112,12 +112,17 @@ def judge(raw: DataFrame, shards: int, topic: str = "topic", value: str = "value
             "_vin": F.regexp_extract(address, TOPIC, 3),
         }
     )
-    parsed = once(parsed, "_m", F.from_json("_text", _TEXT_ENVELOPE, {"columnNameOfCorruptRecord": "_bad"}))
+    parsed = once(parsed, "_m", F.from_json("_text", _TEXT_ENVELOPE, {"columnNameOfCorruptRecord": "_bad", "allowSingleQuotes": "false"}))
     parsed = once(parsed, "_p", F.from_json("_m.payload", _TEXT_PAYLOAD))
     known = F.coalesce(address.rlike(TOPIC), F.lit(False))
     right_shard = F.coalesce(F.col("_shard") == shard(F.col("_vin"), shards), F.lit(False))
     # every field of the envelope is read as text, so only malformed JSON counts as corrupt
-    is_object = F.col("_m._bad").isNull() & F.coalesce(F.rtrim("_text").endswith("}") & F.ltrim("_text").startswith("{"), F.lit(False))
+    # The parser stops after the first value. In an array that must end with a mark the text cannot hold (its own
+    # digest) and have two elements, anything before or after the message shows.
+    mark = F.md5("_text")
+    pair = F.from_json(F.concat(F.lit("["), F.col("_text"), F.lit(',"'), mark, F.lit('"]')), "array<string>", {"allowSingleQuotes": "false"})
+    alone = F.get(F.filter(F.transform(F.array(pair), lambda a: (F.size(a) == 2) & (F.get(a, 1) == mark)), lambda x: x.isNotNull()), 0)
+    is_object = F.col("_m._bad").isNull() & F.coalesce(F.col("_text").rlike(r"^[ \t\r\n]*\{") & alone, F.lit(False))
     reason = (
         F.when(~known, REASONS[0])
         .when(~right_shard, REASONS[1])

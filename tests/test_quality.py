@@ -75,6 +75,9 @@ def test_first_failing_check_wins(spark, topic):
         (topic, json.dumps(message(vin=bad_vin)), "topic_vin_mismatch"),
         (f"fleet/demo/shard-{bad_vin_topic}/{bad_vin}/telemetry", json.dumps(message(vin=bad_vin)), "schema_invalid"),
     ]
+    good = json.dumps(message())
+    cases += [(topic, text, "bad_json") for text in (good + good, good + " xyz}", good + "}", good + ',"end":{}', "{'vin':'x'}", good[:-1] + ",}", "\ufeff" + good)]
+    cases += [(topic, f" \n{good}\t", None)]
     rows = judge(spark, [c[:2] for c in cases]).select("reason").collect()
     assert [r.reason for r in rows] == [c[2] for c in cases]
 
