@@ -40,7 +40,7 @@ def run_training(
     cuts = features.split_cuts(known).first()
     known = known.withColumn("split", features.split_name(F.col("day"), F.lit(cuts["train_cut"]), F.lit(cuts["validate_cut"])))
     models = model.train(known, types, max_iter=max_iter)
-    scored = model.score(known, models)
+    scored = model.score(known, models).checkpoint()  # read by every metric
     validated, tested = scored.filter("split = 'validate'"), scored.filter("split = 'test'")
     model.type_metrics(validated, tested, types).write.mode("overwrite").parquet(f"{out}/type_metrics")
     per_type = spark.read.parquet(f"{out}/type_metrics")
@@ -52,8 +52,12 @@ def run_training(
     model.backtest(snapshot, types, width).write.mode("overwrite").parquet(f"{out}/backtest")
     evaluate.metrics_report(per_type, "Failure models").coalesce(1).write.mode("overwrite").text(f"{out}/report")
     long = risk.long_scores(snapshot.drop("failure_type"), types, features.FEATURES, version, features.lead_days(F.col("failure_type")))
-    predictions = risk.to_predictions(risk.top_scores(long), spark.read.parquet(vehicles)).withColumn("created_at", F.current_timestamp())
-    predictions.write.mode("append").parquet(f"{out}/predictions")
+    fleet = spark.read.parquet(vehicles)
+    # a second run of a version replaces its predictions; ids follow from what they name
+    named = risk.to_predictions(risk.top_scores(long), fleet).withColumn("prediction_id", F.xxhash64("vehicle_id", "failure_type", F.lit(version)))
+    tenant = F.col("tenant_id" if "tenant_id" in fleet.columns else "tenant").alias("tenant_id")
+    named = named.join(fleet.select("vehicle_id", tenant), "vehicle_id")
+    named.withColumn("created_at", F.current_timestamp()).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model_version").parquet(f"{out}/predictions")
     return {n: spark.read.parquet(f"{out}/{n}") for n in ("type_metrics", "fleet_metrics", "backtest", "predictions")}
 
 
@@ -63,8 +67,10 @@ def run_risk_refresh(spark: SparkSession, predictions: str, out: str, version: i
     return sinks.current(spark, out)
 
 
-def run_catalogue(spark: SparkSession, out: str, version: int) -> None:
-    known, patterns = catalogue.build(sinks.current(spark, f"{out}/codes", before=version), spark)
+def run_catalogue(spark: SparkSession, codes: str, signatures: str, out: str, version: int) -> None:
+    """Knowledge base from two stored tables: codes (entry_id, code, description) and signatures (entry_id, failure_type, description)."""
+    stored = sinks.current(spark, f"{out}/codes", before=version)
+    known, patterns = catalogue.build(stored, spark.read.parquet(codes), spark.read.parquet(signatures))
     sinks.publish(known, f"{out}/codes", version)
     sinks.publish(patterns, f"{out}/signatures", version)
 
@@ -74,7 +80,7 @@ def main(argv: list[str] | None = None) -> None:
     jobs = parser.add_subparsers(dest="job", required=True)
     wanted = {
         "features": ["fast", "health", "labels", "out"], "rollup": ["fast", "out", "now"], "train": ["table", "vehicles", "out", "version"],
-        "refresh-risk": ["predictions", "out", "version"], "catalogue": ["out", "version"],
+        "refresh-risk": ["predictions", "out", "version"], "catalogue": ["codes", "signatures", "out", "version"],
     }
     for name, options in wanted.items():
         job = jobs.add_parser(name)
@@ -92,7 +98,7 @@ def main(argv: list[str] | None = None) -> None:
     elif args.job == "refresh-risk":
         run_risk_refresh(spark, args.predictions, args.out, int(args.version))
     else:
-        run_catalogue(spark, args.out, int(args.version))
+        run_catalogue(spark, args.codes, args.signatures, args.out, int(args.version))
 
 
 if __name__ == "__main__":

@@ -12,17 +12,19 @@ from dataclasses import dataclass
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from convoy.operators import evaluate
 from convoy.operators.features import lead_days
 from convoy.operators.rules import baseline_flag
+from convoy.operators.scan import carried, chunk_window
 
 # Training settings.
 MIN_CALIBRATION_ROWS = 10
-IMPORTANCE_ROWS = 2000
 IMPORTANCE_REPEATS = 5
+PATIENCE = 15
+MAX_BINS = 255
 LABEL = "any_failure_label"
 
 
@@ -54,11 +56,13 @@ def assemble(df: DataFrame, columns: list[str], out: str = "features") -> DataFr
 
 
 def train(
-    inputs: DataFrame, types: list[str], max_iter: int = 300, depth: int = 3, step: float = 0.05, min_leaf: int = 100, seed: int = 42
+    inputs: DataFrame, types: list[str], max_iter: int = 300, depth: int = 3, step: float = 0.05, min_leaf: int = 100, seed: int = 42,
+    patience: int = PATIENCE,
 ) -> dict[str, TypeModel]:
     """One model per type from rows with ``split`` (train, validate), ``features`` and ``failure_type``.
 
-    A tenth of the training rows, chosen by hash, decides when boosting stops.
+    A tenth of the training rows, chosen by hash, decides how many trees are kept: boosting goes on in steps until
+    the loss on those rows has not fallen for ``patience`` trees, and the model has the trees up to the lowest loss.
     """
     held = F.pmod(F.xxhash64("vin", "day", F.lit(seed)), F.lit(10)) == 0
     counts = inputs.groupBy("split", "failure_type").agg(F.count(F.lit(1)).alias("n")).collect()  # splits x types
@@ -76,10 +80,10 @@ def train(
             continue
         rows = inputs.withColumn("label", (F.col("failure_type") == name).cast("double"))
         fit_rows = rows.filter(F.col("split") == "train").select("features", "label", held.alias("held"))
-        trees = GBTClassifier(
-            featuresCol="features", labelCol="label", maxDepth=depth, stepSize=step, maxIter=max_iter,
-            minInstancesPerNode=min_leaf, seed=seed, validationIndicatorCol="held", checkpointInterval=10,
-        ).fit(fit_rows)
+        learner = GBTClassifier(
+            featuresCol="features", labelCol="label", maxDepth=depth, stepSize=step, minInstancesPerNode=min_leaf, maxBins=MAX_BINS, seed=seed, checkpointInterval=10,
+        )
+        trees = _boosted(learner, fit_rows.filter(~F.col("held")), fit_rows.filter("held"), max_iter, patience)
         model = TypeModel(name, trees)
         yes, no = positives("validate", name)
         if yes >= MIN_CALIBRATION_ROWS and no >= MIN_CALIBRATION_ROWS:
@@ -91,6 +95,19 @@ def train(
     return models
 
 
+def _boosted(learner: GBTClassifier, rows: DataFrame, held: DataFrame, most: int, patience: int) -> GBTClassificationModel:
+    """Doubles the rounds until the held rows' loss has its minimum ``patience`` trees before the end, then keeps the
+    trees up to there. Without held rows all rounds are kept. The same seed gives the same first trees."""
+    rounds = min(most, 2 * patience)
+    while True:
+        fitted = learner.setMaxIter(rounds).fit(rows)
+        losses = fitted.evaluateEachIteration(held) if not held.isEmpty() else []
+        best = losses.index(min(losses)) + 1 if losses else rounds
+        if rounds == most or losses and best + patience <= rounds:
+            return fitted if best == rounds else learner.setMaxIter(best).fit(rows)
+        rounds = min(most, 2 * rounds)
+
+
 def score(df: DataFrame, models: dict[str, TypeModel]) -> DataFrame:
     """One score column per type."""
     for model in models.values():
@@ -165,27 +182,37 @@ def backtest(snapshot: DataFrame, types: list[str], tie_chunk_width: float = 100
     return overall.join(top, "scope", "left")
 
 
-def permutation_importance(tested: DataFrame, model: TypeModel, columns: list[str], rows: int = IMPORTANCE_ROWS, repeats: int = IMPORTANCE_REPEATS, seed: int = 42) -> DataFrame:
-    """Mean drop of average precision when one input is shuffled among a sample of rows.
+def _placed(rows: DataFrame, by: list[str], order: Column, out: str) -> DataFrame:
+    """Places of the rows of a group in an order by a 64-bit hash, ranked chunk by chunk."""
+    ranked = rows.withColumns({"_order": order, "_chunk": F.shiftright(order, 48)})
+    before = carried(ranked, by, "_chunk", {"_before": (F.count(F.lit(1)), "sum")})
+    inside = ranked.withColumn("_in", F.row_number().over(chunk_window(by, "_chunk", [F.col("_order"), F.col("n")])))
+    return inside.join(before, [*by, "_chunk"]).withColumn(out, F.col("_in") + F.coalesce(F.col("_before"), F.lit(0))).drop("_order", "_chunk", "_in", "_before")
+
+
+def permutation_importance(tested: DataFrame, model: TypeModel, columns: list[str], rows: int | None = None, repeats: int = IMPORTANCE_REPEATS, seed: int = 42) -> DataFrame:
+    """Mean drop of average precision when one input is shuffled among the rows.
 
-    The sample (a sampling operator, at most ``rows`` rows) is numbered. Every (input, repeat)
-    draws its own order of those numbers, and all shuffled copies are scored in one job.
+    All rows, or the ``rows`` with the smallest hashes if the caller asks for a sample. Every (input,
+    repeat) draws its own order of the rows by another hash; a row gets the input of the row that has
+    its place in that order. Orders are ranked in hash chunks, and all shuffled copies are scored in one job.
     """
-    number = F.row_number().over(Window.orderBy("_h"))  # over the sample only
+    hashed = tested.withColumn("n", F.xxhash64("vin", "day", F.lit(seed)))
+    if rows is not None:
+        hashed = hashed.orderBy("n").limit(rows)
     sample = (
-        tested.withColumn("_h", F.xxhash64("vin", "day", F.lit(seed))).orderBy("_h").limit(rows)
-        .select(
-            number.alias("n"), F.array(*[F.col(c).cast("double") for c in columns]).alias("x"),
+        hashed.select(
+            "n", F.array(*[F.col(c).cast("double") for c in columns]).alias("x"),
             (F.col("failure_type") == model.failure_type).cast("int").alias("label"),
         )
     )
     trials = F.explode(F.array(*[F.lit(i) for i in range(len(columns))])).alias("f")
     copies = sample.select("n", "x", "label", trials).select("*", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("r"))
-    order = Window.partitionBy("f", "r").orderBy(F.xxhash64("n", "f", "r", F.lit(seed)), "n")
-    partner = copies.select("n", "f", "r", F.row_number().over(order).alias("m"))
-    donors = sample.select(F.col("n").alias("m"), F.col("x").alias("donor"))
-    shuffled = copies.join(partner, ["n", "f", "r"]).join(donors, "m")
-    value = F.element_at("donor", F.col("f") + 1)
+    value_of = F.element_at("x", F.col("f") + 1)
+    placed = _placed(copies, ["f", "r"], F.col("n"), "place")
+    donors = _placed(copies.withColumn("donor", value_of), ["f", "r"], F.xxhash64("n", "f", "r", F.lit(seed)), "place").select("f", "r", "place", "donor")
+    shuffled = placed.join(donors, ["f", "r", "place"])
+    value = F.col("donor")
     mixed = shuffled.withColumn("x", F.transform("x", lambda v, i: F.when(i == F.col("f"), value).otherwise(v)))
     base = sample.withColumns({"f": F.lit(-1), "r": F.lit(0)}).select("n", "f", "r", "x", "label")
     every = base.unionByName(mixed.select("n", "f", "r", "x", "label")).withColumn("features", array_to_vector("x"))

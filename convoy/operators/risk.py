@@ -9,7 +9,6 @@ CRITICAL_RISK = 0.7
 DISTRIBUTION_RISK = 0.5
 HORIZON_DAYS = 30
 MIN_SCORE = 0.01
-MAX_WRITTEN = 5000
 VECTOR_SIZE = 384
 
 
@@ -156,7 +155,10 @@ def long_scores(scored: DataFrame, types: list[str], features: list[str], versio
     )
 
 
-def top_scores(long: DataFrame, size: int = MAX_WRITTEN, key: str = "vin") -> DataFrame:
+def top_scores(long: DataFrame, size: int | None = None, key: str = "vin") -> DataFrame:
+    """The highest scores first; all of them unless ``size`` says how many."""
+    if size is None:
+        return long
     return long.orderBy(F.col("risk_score").desc(), key, "failure_type").limit(size)
 
 

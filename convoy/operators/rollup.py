@@ -5,21 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Measures of the daily rollup.
-DAILY_MEASURES = {
-    "avg_coolant_c": F.avg, "max_coolant_c": F.max, "avg_ambient_c": F.avg, "avg_load_pct": F.avg,
-    "avg_rpm": F.avg, "avg_oil_kpa": F.avg, "min_oil_kpa": F.min, "avg_trans_c": F.avg,
-    "max_trans_c": F.max, "max_speed_kmh": F.max,
+AGGREGATES = {"avg": F.avg, "min": F.min, "max": F.max, "sum": F.sum}
+# Columns of the daily rollup by measure: measure -> (aggregate, output).
+ROLLUP_COLUMNS = {
+    "coolant_c": [("avg", "avg_coolant_c"), ("max", "max_coolant_c")], "ambient_c": [("avg", "avg_ambient_c")], "load_pct": [("avg", "avg_load_pct")],
+    "rpm": [("avg", "avg_rpm")], "oil_kpa": [("avg", "avg_oil_kpa"), ("min", "min_oil_kpa")], "trans_c": [("avg", "avg_trans_c"), ("max", "max_trans_c")],
+    "speed_kmh": [("max", "max_speed_kmh")], "fuel_rate_lph": [("sum", "fuel_rate_sum")],
 }
 
 
+def daily_table(readings: DataFrame, columns: dict[str, list[tuple[str, str]]], count: str, ts: str, key: str = "vin") -> DataFrame:
+    """One row per key and day: each measure's (aggregate, output) pairs, and the number of readings as ``count``."""
+    outputs = [AGGREGATES[how](measure).alias(out) for measure, pairs in columns.items() for how, out in pairs]
+    return readings.groupBy(key, F.to_date(ts).alias("day")).agg(*outputs, F.count("*").alias(count))
+
+
 def daily_rollup(fast: DataFrame, ts: str = "event_time", key: str = "vin") -> DataFrame:
     """One row per vehicle and day. The key has no tenant, as in the stored rollup."""
-    return fast.groupBy(key, F.to_date(ts).alias("day")).agg(
-        *[how(name.split("_", 1)[1]).alias(name) for name, how in DAILY_MEASURES.items()],
-        F.sum("fuel_rate_lph").alias("fuel_rate_sum"),
-        F.count(F.lit(1)).alias("sample_count"),
-    )
+    return daily_table(fast, ROLLUP_COLUMNS, "sample_count", ts, key)
 
 
 def refresh_window(now: Column, start_days: int = 3, end_hours: int = 1) -> tuple[Column, Column]:

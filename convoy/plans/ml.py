@@ -36,14 +36,14 @@ def _fitted(spark, sf_dir):
 @query("type_metrics", "O-ML-7", "O-ML-8", "O-ML-9", "O-ML-10")
 def type_metrics(spark, sf_dir):
     known, _, models = _fitted(spark, sf_dir)
-    scored = model.score(known, models)
+    scored = model.score(known, models).checkpoint()
     return model.type_metrics(scored.filter("split = 'validate'"), scored.filter("split = 'test'"), TYPES)
 
 
 @query("fleet_metrics", "O-ML-11", "O-ML-12")
 def fleet_metrics(spark, sf_dir):
     known, _, models = _fitted(spark, sf_dir)
-    scored = model.score(known, models)
+    scored = model.score(known, models).checkpoint()
     best = evaluate.best_f1(model.long_form(scored.filter("split = 'validate'"), TYPES), ["model"]).collect()  # one row per type
     thresholds = {r["model"]: r["threshold"] for r in best}
     return model.fleet_metrics(scored.filter("split = 'test'"), TYPES, {t: thresholds.get(t, evaluate.DEFAULT_THRESHOLD) for t in TYPES})

@@ -78,10 +78,13 @@ def current(spark: SparkSession, base: str, before: int | None = None) -> DataFr
     return spark.read.parquet(f"{base}/version={known[-1]}") if known else None
 
 
-def publish(df: DataFrame, base: str, version: int, keep: int = 3) -> None:
-    """Writes a complete version and drops all but the newest ``keep``; a path being read is never overwritten."""
+def publish(df: DataFrame, base: str, version: int, keep: int | None = None) -> None:
+    """Writes a complete version; a path being read is never overwritten. Old versions stay, as a reader may hold any of
+    them, unless the caller says how many to ``keep``."""
     spark = df.sparkSession
     df.write.mode("overwrite").parquet(f"{base}/version={version}")
+    if keep is None:
+        return
     fs, _ = _folder(spark, base)
     for old in versions(spark, base)[:-keep]:
         fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{base}/version={old}"), True)

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from convoy import catalogue, jobs
+from convoy import jobs
 from convoy.operators import search
 from convoy.plans import derive as d
 from convoy.streaming import sinks
@@ -23,19 +23,23 @@ def test_features_training_and_risk(spark, sf_dir, tmp_path):
     assert "| cooling |" in "\n".join(r.value for r in spark.read.text(f"{base}/ml/report").collect())
     predictions = out["predictions"]
     assert predictions.filter("size(feature_vector) <> 384 OR risk_score < 0.01").count() == 0
-    ready = predictions.withColumns({"tenant_id": F.lit(1), "prediction_id": F.monotonically_increasing_id(), "lead_days": F.lit(3.0)})
-    ready.write.parquet(f"{base}/predictions")
-    latest = jobs.run_risk_refresh(spark, f"{base}/predictions", f"{base}/risk", 0)
-    assert latest.count() == predictions.select("vehicle_id").distinct().count()
+    n = predictions.count()
+    latest = jobs.run_risk_refresh(spark, f"{base}/ml/predictions", f"{base}/risk", 0)
+    due = predictions.filter("lead_days > 0 AND lead_days <= 30")
+    assert latest.count() == due.select("vehicle_id").distinct().count()
 
 
 def test_catalogue_search(spark, tmp_path):
-    jobs.run_catalogue(spark, str(tmp_path), 0)
-    jobs.run_catalogue(spark, str(tmp_path), 1)
-    stored = sinks.current(spark, f"{tmp_path}/codes")
-    assert stored.count() == len(catalogue.DTC_DESCRIPTIONS) == 22
+    entries = [(0, "P0301", "Cylinder 1 misfire detected"), (1, "P0303", "Cylinder 3 misfire detected"), (2, "P0524", "Engine oil pressure too low")]
+    spark.createDataFrame(entries, "entry_id long, code string, description string").write.parquet(f"{tmp_path}/in/codes")
+    spark.createDataFrame([(0, "tyre", "pressure of one tyre falls slowly")], "entry_id long, failure_type string, description string").write.parquet(f"{tmp_path}/in/signatures")
+    for version in (0, 1):
+        jobs.run_catalogue(spark, f"{tmp_path}/in/codes", f"{tmp_path}/in/signatures", f"{tmp_path}/kb", version)
+    stored = sinks.current(spark, f"{tmp_path}/kb/codes")
+    assert stored.count() == 3
     asked = spark.createDataFrame([(0, "cylinder 3 misfire"), (1, "oil pressure too low")], "q long, text string")
     found = search.cosine_neighbours(search.hashed_vectors(asked, "q", "text"), stored, 1, "q", "entry_id")
     codes = {r.query_id: r.code for r in found.join(stored, found.item_id == stored.entry_id).collect()}
     assert codes == {0: "P0303", 1: "P0524"}
-    assert sinks.current(spark, f"{tmp_path}/signatures").count() == 8
+    assert sinks.current(spark, f"{tmp_path}/kb/signatures").count() == 1
+    assert sinks.versions(spark, f"{tmp_path}/kb/codes") == [0, 1]
