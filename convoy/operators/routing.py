@@ -1,89 +1,29 @@
 """Nearest depot with a free bay, and booking many requests in order.
 
-Depots are few in practice. Up to ``LOCAL_DEPOTS`` of them are shipped to the tasks (the count
-is checked first) and every task searches its own vehicles, without a shuffle and without ever
-forming vehicle-depot rows. A larger depot table is searched by joins on map cells: pairs of
-cells are refined level by level and dropped when the triangle inequality proves that they
-cannot hold a nearest depot, so the result is the same.
+The search is one plan at every size. Pairs of map cells are refined level by level and dropped when the triangle
+inequality proves that they cannot hold a nearest depot; requests then meet the depots of the cells that are left. A small
+depot table is broadcast by Spark itself. Depots within a millimetre of each other's distance tie: the lowest id wins.
 """
 
 from __future__ import annotations
 
 import math
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from convoy.functions.geo import EARTH_RADIUS_KM, haversine_km
 from convoy.operators.scan import carried, chunk_window
 
-LOCAL_DEPOTS = 10_000
-BOOKING_DEPOTS = 100_000
-BOOKINGS_PER_TASK = 20_000
 _TOP_CELL_DEGREES = 9.0
-_PAIRS_PER_BLOCK = 2_000_000
-_OPEN = float(2**62)  # cutoff of a depot that still has room
-_RESULT = "depot_id bigint, distance_km double"
+_OPEN = 2**63 - 1  # cutoff of a depot that still has room
+_DIGITS = 6  # of a distance in km, below which distances are equal
 
 
-# --- search inside the tasks ----------------------------------------------------------------------
-def _search(lat, lon, order, sites: dict[str, np.ndarray]):
-    """Position of the nearest eligible site per row and its haversine term; -1 when none is eligible.
-
-    ``sites`` is sorted by depot id, so the first minimum is the lowest id on ties.
-    """
-    phi, lam = np.radians(lat), np.radians(lon)
-    best = np.full(len(phi), -1, dtype=np.int64)
-    term = np.full(len(phi), np.nan)
-    step = max(1, _PAIRS_PER_BLOCK // max(1, len(sites["id"])))
-    for start in range(0, len(phi), step):
-        rows = slice(start, start + step)
-        half_lat = (sites["phi"][None, :] - phi[rows, None]) / 2
-        half_lon = (sites["lam"][None, :] - lam[rows, None]) / 2
-        h = np.sin(half_lat) ** 2 + np.cos(phi[rows, None]) * np.cos(sites["phi"])[None, :] * np.sin(half_lon) ** 2
-        if order is not None:
-            h = np.where(sites["cutoff"][None, :] >= order[rows, None], h, np.inf)
-        choice = np.argmin(h, axis=1)
-        value = h[np.arange(len(choice)), choice]
-        found = np.isfinite(value)
-        best[rows] = np.where(found, choice, -1)
-        term[rows] = np.where(found, value, np.nan)
-    return best, term
-
-
-def _search_local(points: DataFrame, rows: list, order: str | None) -> DataFrame:
-    if not rows:
-        return points.selectExpr("*", "cast(null as bigint) as depot_id", "cast(null as double) as distance_km").filter("false")
-    rows = sorted(rows, key=lambda r: r["depot_id"])
-    sites = {
-        "id": np.array([r["depot_id"] for r in rows], dtype=np.int64),
-        "phi": np.radians(np.array([r["lat"] for r in rows], dtype=float)),
-        "lam": np.radians(np.array([r["lon"] for r in rows], dtype=float)),
-        "cutoff": np.array([r["cutoff"] for r in rows], dtype=float),
-    }
-    keep = points.columns
-
-    def search(batches):
-        for batch in batches:
-            wanted = batch[order].to_numpy(dtype=float) if order else None
-            known = batch["lat"].notna().to_numpy() & batch["lon"].notna().to_numpy()
-            best, term = _search(batch["lat"].fillna(0).to_numpy(float), batch["lon"].fillna(0).to_numpy(float), wanted, sites)
-            hit = (best >= 0) & known
-            out = batch[keep].copy()
-            out["depot_id"] = sites["id"][best]
-            out["distance_km"] = 2 * EARTH_RADIUS_KM * np.arcsin(np.sqrt(np.minimum(term, 1.0)))
-            yield out[hit]
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema.fields)
-    return points.mapInPandas(search, f"{fields}, {_RESULT}")
-
-
-# --- search by cells ------------------------------------------------------------------------------
 def _cell_sizes(n_sites: int) -> list[float]:
     """Cell widths in degrees, each a third of the one before, until cells outnumber the sites."""
     sizes, cells = [_TOP_CELL_DEGREES], (360 / _TOP_CELL_DEGREES) * (180 / _TOP_CELL_DEGREES)
-    while cells < n_sites and len(sizes) < 7:
+    while cells < n_sites:
         sizes.append(sizes[-1] / 3)
         cells *= 9
     return sizes
@@ -113,64 +53,58 @@ def _centre_distance(a: Column, b: Column, size: float) -> Column:
 
 
 def _prune(pairs: DataFrame, size: float) -> DataFrame:
-    """Keeps a cell pair only if its least distance can beat the sure distance to a nearby site.
+    """Keeps a cell pair only if its least distance can beat the sure distance to a site.
 
-    A point lies within ``reach`` of its cell's centre. ``_sure`` marks cells holding a site that
-    is open to every request; the bound may rest on those only.
+    A point lies within ``reach`` of its cell's centre. ``_first`` and ``_last`` bound the requests of the cell ``_v``;
+    ``_cutoff`` is the latest request that a site of ``_s`` takes. The bound rests on sites that take every request of
+    the cell. A window gives it, so that each level is in the plan once.
     """
     reach = EARTH_RADIUS_KM * math.radians(size) * math.sqrt(2) / 2
-    pairs = pairs.withColumn("_d", _centre_distance(F.col("_v"), F.col("_s"), size))
-    bound = pairs.groupBy("_v").agg(F.min(F.when(F.col("_sure"), F.col("_d") + 2 * reach)).alias("_bound"))
-    close = F.col("_bound").isNull() | (F.col("_d") - 2 * reach <= F.col("_bound") + 1e-6)
-    return pairs.join(bound, "_v").filter(close).select("_v", "_s")
+    pairs = pairs.filter(F.col("_cutoff") >= F.col("_first")).withColumn("_d", _centre_distance(F.col("_v"), F.col("_s"), size))
+    sure = F.when(F.col("_cutoff") >= F.col("_last"), F.col("_d") + 2 * reach)
+    bounded = pairs.withColumn("_bound", F.min(sure).over(Window.partitionBy("_v")))
+    return bounded.filter(F.col("_bound").isNull() | (F.col("_d") - 2 * reach <= F.col("_bound") + 1e-5)).select("_v", "_s")
 
 
-def _search_cells(points: DataFrame, sites: DataFrame, n_sites: int, key: str, order: str | None) -> DataFrame:
+def _nearest(points: DataFrame, sites: DataFrame, n_sites: int, key: str, order: str | None) -> DataFrame:
+    """``points`` with depot_id and distance_km of the nearest site whose ``cutoff`` is not before their ``order``."""
     sizes = _cell_sizes(n_sites)
     names = [f"_c{i}" for i in range(len(sizes))]
-    located = points.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull())
+    located = points.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull()).withColumn("_o", (F.col(order) if order else F.lit(0)).cast("long"))
     placed = located.withColumns({n: _cell(F.col("lat"), F.col("lon"), s) for n, s in zip(names, sizes)})
-    depots = sites.withColumns({n: _cell(F.col("lat"), F.col("lon"), s) for n, s in zip(names, sizes)}).withColumn(
-        "_open", F.col("cutoff") >= _OPEN
-    )
+    depots = sites.withColumns({n: _cell(F.col("lat"), F.col("lon"), s) for n, s in zip(names, sizes)})
+    wanted, latest = [F.min("_o").alias("_first"), F.max("_o").alias("_last")], F.max("cutoff").alias("_cutoff")
+
     last_top = _columns(sizes[0]) * round(180 / sizes[0]) - 1
     all_top = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last_top).cast("long")))
-    site_cells = depots.groupBy(names[0]).agg(F.max("_open").alias("_sure")).withColumnRenamed(names[0], "_s")
-    pairs = placed.select(F.col(names[0]).alias("_v")).distinct().withColumn("_s", all_top).join(site_cells, "_s")
+    site_cells = depots.groupBy(F.col(names[0]).alias("_s")).agg(latest)
+    pairs = placed.groupBy(F.col(names[0]).alias("_v")).agg(*wanted).withColumn("_s", all_top).join(site_cells, "_s")
     pairs = _prune(pairs, sizes[0])
     for above, here, size in zip(names, names[1:], sizes[1:]):
-        v_cells = placed.select(F.col(above).alias("_v"), F.col(here).alias("_v2")).distinct()
-        s_cells = depots.groupBy(F.col(above).alias("_s"), F.col(here).alias("_s2")).agg(F.max("_open").alias("_sure"))
+        v_cells = placed.groupBy(F.col(above).alias("_v"), F.col(here).alias("_v2")).agg(*wanted)
+        s_cells = depots.groupBy(F.col(above).alias("_s"), F.col(here).alias("_s2")).agg(latest)
         finer = pairs.join(v_cells, "_v").join(s_cells, "_s")
-        pairs = _prune(finer.select(F.col("_v2").alias("_v"), F.col("_s2").alias("_s"), "_sure"), size)
+        pairs = _prune(finer.select(F.col("_v2").alias("_v"), F.col("_s2").alias("_s"), "_first", "_last", "_cutoff"), size)
     nearby = pairs.join(
         depots.select(F.col(names[-1]).alias("_s"), "depot_id", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), "cutoff"), "_s"
     ).select(F.col("_v").alias(names[-1]), "depot_id", "_lat", "_lon", "cutoff")
-    choices = placed.join(nearby, names[-1])
-    if order:
-        choices = choices.filter(F.col("cutoff") >= F.col(order))
+    choices = placed.join(nearby, names[-1]).filter(F.col("cutoff") >= F.col("_o"))
     choices = choices.withColumn("distance_km", haversine_km(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon")))
-    first = Window.partitionBy(key).orderBy("distance_km", "depot_id")  # group limit 1 before the shuffle
+    first = Window.partitionBy(key).orderBy(F.round("distance_km", _DIGITS), "depot_id")  # group limit 1 before the shuffle
     return choices.withColumn("_rank", F.row_number().over(first)).filter("_rank = 1").select(
         *points.columns, "depot_id", "distance_km"
     )
 
 
-def _search_any(points: DataFrame, sites: DataFrame, key: str, order: str | None, local_limit: int) -> DataFrame:
-    head = sites.limit(local_limit + 1).collect() if local_limit else []  # at most the limit plus one row
-    if local_limit and len(head) <= local_limit:
-        return _search_local(points, head, order)
-    return _search_cells(points, sites, sites.count(), key, order)
-
-
-def nearest_depot(vehicles: DataFrame, depots: DataFrame, key: str = "vehicle_id", local_limit: int = LOCAL_DEPOTS) -> DataFrame:
+def nearest_depot(vehicles: DataFrame, depots: DataFrame, key: str = "vehicle_id", least_cells: int = 0) -> DataFrame:
     """Per vehicle the nearest depot with a free bay; vehicles drop out when every depot is full.
 
-    Equal distances go to the lowest depot id. Depots on one spot are folded to that id first.
+    Equal distances go to the lowest depot id. Depots on one spot are folded to that id first. Cells are refined until
+    they outnumber the depots and ``least_cells`` (for depots that crowd in a few places); the result is the same.
     """
     free = depots.filter(F.col("free_bays") > 0)
     sites = free.groupBy("lat", "lon").agg(F.min("depot_id").alias("depot_id")).withColumn("cutoff", F.lit(_OPEN))
-    return _search_any(vehicles.select(key, "lat", "lon"), sites, key, None, local_limit)
+    return _nearest(vehicles.select(key, "lat", "lon"), sites, max(sites.count(), least_cells), key, None)
 
 
 def live_position(vehicles: DataFrame, twin: DataFrame, depots: DataFrame, key: str = "vin") -> DataFrame:
@@ -184,106 +118,38 @@ def live_position(vehicles: DataFrame, twin: DataFrame, depots: DataFrame, key:
     )
 
 
-# --- booking many requests ------------------------------------------------------------------------
-def _book_in_task(requests: DataFrame, rows: list, order: str) -> DataFrame:
-    """Books the requests of each task one by one, as if the task's requests were alone.
+def _ranked(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Adds ``_rank``, the place of a row among those of its key by ``order``; rows meet per (key, ``_chunk``) only."""
+    before = carried(rows, keys, "_chunk", {"_before": (F.count(F.lit(1)), "sum")})
+    inside = rows.withColumn("_place", F.row_number().over(chunk_window(keys, "_chunk", [F.col(order)])))
+    return inside.join(before, [*keys, "_chunk"]).withColumn(
+        "_rank", F.col("_place") + F.coalesce(F.col("_before"), F.lit(0))
+    ).drop("_place", "_before")
 
-    A depot takes a request while it has bays left in this task and its cutoff allows. Input
-    partitions hold consecutive requests, sorted by ``order``.
-    """
-    rows = sorted(rows, key=lambda r: r["depot_id"])
-    ids = np.array([r["depot_id"] for r in rows], dtype=np.int64)
-    phi, lam = (np.radians(np.array([r[c] for r in rows], dtype=float)) for c in ("lat", "lon"))
-    bays = np.array([r["free_bays"] for r in rows], dtype=np.int64)
-    cutoff = np.array([r["cutoff"] for r in rows], dtype=float)
-    keep = requests.columns
-
-    def book(batches):
-        left = bays.copy()
-        for batch in batches:
-            chosen = np.full(len(batch), -1, dtype=np.int64)
-            term = np.full(len(batch), np.nan)
-            places = zip(batch[order], np.radians(batch["lat"].to_numpy(float)), np.radians(batch["lon"].to_numpy(float)))
-            for i, (number, p, q) in enumerate(places):
-                h = np.sin((phi - p) / 2) ** 2 + np.cos(p) * np.cos(phi) * np.sin((lam - q) / 2) ** 2
-                h = np.where((left > 0) & (cutoff >= number), h, np.inf)
-                best = int(np.argmin(h))  # first minimum: lowest depot id
-                if np.isfinite(h[best]):
-                    chosen[i], term[i] = best, h[best]
-                    left[best] -= 1
-            out = batch[keep].copy()
-            out["depot_id"] = ids[chosen]
-            out["distance_km"] = 2 * EARTH_RADIUS_KM * np.arcsin(np.sqrt(np.minimum(term, 1.0)))
-            yield out[chosen >= 0]
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema.fields)
-    return requests.mapInPandas(book, f"{fields}, {_RESULT}")
-
-
-def assign_bays(
-    requests: DataFrame, depots: DataFrame, order: str, order_chunk: Column, local_limit: int = BOOKING_DEPOTS,
-    per_task: int = BOOKINGS_PER_TASK,
-) -> DataFrame:
+
+def assign_bays(requests: DataFrame, depots: DataFrame, order: str, order_chunk: Column) -> DataFrame:
     """Books requests as if handled one by one in ``order``, each at the nearest depot with a bay left.
 
-    Every request takes a bay while any is left, so exactly the first "total free bays" requests
-    are placed. Who gets which bay is a fixed point of one cutoff per depot: the latest request
-    it can still take. In a round the requests choose under the current cutoffs, and a depot
-    chosen more often than it has bays lowers its cutoff to its last accepted request. Cutoffs
-    only fall, and when none changes the choices are the sequential result. The cutoffs are the
-    only state between rounds. Unplaced requests are not returned.
-
-    Up to ``local_limit`` depots every task books ``per_task`` consecutive requests one by one.
-    The first task is right at once, the second after one round and so on, so the number of
-    rounds is bounded by the number of tasks however crowded a place is. With more depots each
-    request picks its nearest eligible one by map cells, which takes more rounds.
+    Every request takes a bay while any is left, so exactly the first "total free bays" requests are placed. They ask
+    in rounds: each asks the nearest depot whose cutoff, the latest request it can still take, allows; a depot keeps the
+    earliest of those it holds and those that ask, as many as it has bays, and once full its cutoff is the last one kept.
+    Only displaced requests ask again. Cutoffs never rise, and when nobody is displaced the result is that of booking
+    one by one. ``order`` is a whole number, unique per request; requests without it or without a place are not booked,
+    and unplaced ones are not returned. Needs a checkpoint folder: each round's state is written there.
     """
     free = depots.filter(F.col("free_bays") > 0).select("depot_id", "lat", "lon", "free_bays")
-    stats = free.agg(F.sum("free_bays").alias("bays"), F.max("free_bays").alias("most"), F.count(F.lit(1)).alias("n")).first()
-    total, most = int(stats["bays"] or 0), int(stats["most"] or 0)
-    ranked = requests.select(order, "lat", "lon").filter(F.col("lat").isNotNull() & F.col("lon").isNotNull())
-    ranked = ranked.withColumn("_chunk", order_chunk)
-    before = carried(ranked, [], "_chunk", {"_before": (F.count(F.lit(1)), "sum")})
-    inside = ranked.withColumn("_place", F.row_number().over(chunk_window([], "_chunk", [F.col(order)])))
-    placed = inside.join(before, "_chunk").filter(F.col("_place") + F.coalesce(F.col("_before"), F.lit(0)) <= total)
-    local = stats["n"] <= local_limit
-    contenders = placed.select(order, "lat", "lon")
-    if local:
-        tasks = max(1, -(-total // per_task))
-        contenders = contenders.repartitionByRange(tasks, order).sortWithinPartitions(order)
-    contenders = contenders.checkpoint()
-
-    cutoffs = free.withColumn("cutoff", F.lit(_OPEN))
-    known = {r["depot_id"]: r.asDict() for r in cutoffs.collect()} if local else None
+    stats = free.agg(F.sum("free_bays").alias("bays"), F.count(F.lit(1)).alias("n")).first()
+    usable = requests.select(order, "lat", "lon").dropna().withColumn("_chunk", order_chunk)
+    asking = _ranked(usable, [], order).filter(F.col("_rank") <= int(stats["bays"] or 0)).drop("_rank").checkpoint()
+    sites = free.drop("free_bays").withColumn("cutoff", F.lit(_OPEN)).checkpoint()
+    held = None
     while True:
-        if local:
-            choice = _book_in_task(contenders, list(known.values()), order) if known else _search_local(contenders, [], order)
-            lowered = _overfull(choice, free, order, most).collect()  # at most one row per depot, within the limit
-            if not lowered:
-                return choice.select(order, "depot_id", "distance_km")
-            for row in lowered:
-                known[row["depot_id"]]["cutoff"] = float(row["new_cutoff"])
-        else:
-            choice = _search_cells(contenders, cutoffs, stats["n"], order, order)
-            over = _overfull(choice, free, order, most).checkpoint()
-            if over.isEmpty():
-                return choice.select(order, "depot_id", "distance_km")
-            cutoffs = cutoffs.join(over, "depot_id", "left").withColumn(
-                "cutoff", F.coalesce(F.col("new_cutoff").cast("double"), F.col("cutoff"))
-            ).drop("new_cutoff").checkpoint()
-
-
-def _overfull(choice: DataFrame, free: DataFrame, order: str, most: int) -> DataFrame:
-    """Depots chosen more often than they have bays, with their last accepted request.
-
-    Only the first ``most + 1`` requests of a depot matter, and every task trims to those
-    before the shuffle, so a depot that everybody wants does not gather all requests.
-    """
-    ranked = choice.select("depot_id", order).withColumn(
-        "_rank", F.row_number().over(Window.partitionBy("depot_id").orderBy(order))
-    ).filter(F.col("_rank") <= most + 1)
-    with_bays = ranked.join(free.select("depot_id", "free_bays"), "depot_id")
-    return with_bays.groupBy("depot_id").agg(
-        F.count_if(F.col("_rank") > F.col("free_bays")).alias("_extra"),
-        F.max(F.when(F.col("_rank") == F.col("free_bays"), F.col(order))).alias("new_cutoff"),
-    ).filter("_extra > 0").drop("_extra")
+        choice = _nearest(asking, sites, stats["n"], order, order).checkpoint()
+        asked = held.unionByName(choice) if held is not None else choice
+        judged = _ranked(asked, ["depot_id"], order).join(free.select("depot_id", "free_bays"), "depot_id").checkpoint()
+        held = judged.filter("_rank <= free_bays").select(choice.columns)
+        asking = judged.filter("_rank > free_bays").select(order, "lat", "lon", "_chunk")
+        if asking.isEmpty():
+            return held.select(order, "depot_id", "distance_km")
+        full = judged.filter("_rank = free_bays").select("depot_id", F.col(order).cast("long").alias("_latest"))
+        sites = sites.join(full, "depot_id", "left").withColumn("cutoff", F.coalesce("_latest", "cutoff")).drop("_latest").checkpoint()

@@ -33,30 +33,27 @@ def frames(spark, cars, depots):
     )
 
 
-@pytest.mark.parametrize("limit", [10_000, 0])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_nearest_free_depot(spark, seed, limit):
+def test_nearest_free_depot(spark, seed):
     cars, depots = fleet(seed)
-    found = routing.nearest_depot(*frames(spark, cars, depots), local_limit=limit).collect()
+    found = routing.nearest_depot(*frames(spark, cars, depots)).collect()
     expected = {}
     for car, lat, lon in cars:
         expected[car] = min((d for d in depots if d[3] > 0), key=lambda d: (km((lat, lon), d[1:3]), d[0]))[0]
     assert {r.vehicle_id: r.depot_id for r in found} == expected
 
 
-@pytest.mark.parametrize("limit", [10_000, 0])
-def test_ties_and_full_depots(spark, limit):
+def test_ties_and_full_depots(spark):
     cars = [(1, 10.0, 10.0), (2, -89.9, 179.9), (3, 89.9, -179.9)]
     depots = [(5, 10.0, 10.0, 0), (9, 10.0, 11.0, 1), (7, 10.0, 11.0, 1), (8, -89.9, -179.9, 1), (6, 89.9, 179.9, 1)]
-    found = routing.nearest_depot(*frames(spark, cars, depots), local_limit=limit).collect()
+    found = routing.nearest_depot(*frames(spark, cars, depots)).collect()
     assert {r.vehicle_id: r.depot_id for r in found} == {1: 7, 2: 8, 3: 6}
-    none = routing.nearest_depot(*frames(spark, cars, [(d[0], d[1], d[2], 0) for d in depots]), local_limit=limit)
+    none = routing.nearest_depot(*frames(spark, cars, [(d[0], d[1], d[2], 0) for d in depots]))
     assert none.collect() == []
 
 
-@pytest.mark.parametrize("limit", [10_000, 0])
 @pytest.mark.parametrize("seed", [4, 5])
-def test_booking_equals_one_by_one(spark, seed, limit):
+def test_booking_equals_one_by_one(spark, seed):
     cars, depots = fleet(seed, vehicles=60, depots=9)
     left = {d[0]: d[3] for d in depots}
     expected = {}
@@ -67,10 +64,31 @@ def test_booking_equals_one_by_one(spark, seed, limit):
             left[best] -= 1
             expected[car] = best
     chunk = scan.number_chunk(F.col("vehicle_id"), 7)
-    booked = routing.assign_bays(*frames(spark, cars, depots), "vehicle_id", chunk, local_limit=limit, per_task=5)
+    booked = routing.assign_bays(*frames(spark, cars, depots), "vehicle_id", chunk)
     assert {r.vehicle_id: r.depot_id for r in booked.collect()} == expected
 
 
+def test_exact_ties_at_any_number_of_depots(spark):
+    cars = [(i, 10 + i / 100, 20 + i / 7) for i in range(200)]
+    pairs = [d for i, lat, lon in cars for d in ((2 * i, lat, lon + 0.001, 1), (2 * i + 1, lat, lon - 0.001, 1))]
+    far = [(1000 + i, -80 + i / 1000, i / 200, 1) for i in range(20_000)]
+    for depots in (pairs, pairs + far):
+        found = routing.nearest_depot(*frames(spark, cars, depots)).collect()
+        assert {r.vehicle_id: r.depot_id for r in found} == {i: 2 * i for i, _, _ in cars}
+
+
+def test_plan_grows_in_line_with_the_levels(spark):
+    cars, sites = frames(spark, [(1, 1.0, 1.0)], [(1, 1.0, 1.0, 1)])
+    sites = sites.withColumn("cutoff", F.lit(2**63 - 1))
+
+    def reads(n):
+        plan = routing._nearest(cars, sites, n, "vehicle_id", None)._jdf.queryExecution().optimizedPlan().toString()
+        return plan.count("LogicalRDD") + plan.count("LocalRelation")
+
+    counts = [reads(800 * 9**k) for k in range(4)]
+    assert len({b - a for a, b in zip(counts, counts[1:])}) == 1
+
+
 def test_live_position_beats_home(spark):
     cars = spark.createDataFrame([("a", 1), ("b", 1)], "vin string, depot_id long")
     twin = spark.createDataFrame([("a", 5.0, 6.0)], "vin string, lat double, lon double")
