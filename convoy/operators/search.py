@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -53,37 +51,17 @@ def cosine_neighbours(
 ) -> DataFrame:
     """Exact ``k`` nearest corpus rows per query by cosine distance, ties to the lowest id.
 
-    Up to ``query_block`` queries (checked by reading one more) travel to the corpus tasks, and
-    the corpus is not shuffled. More queries are met block by block: query blocks and corpus
-    blocks are paired by equal block numbers, each pair is one matrix product, and only the k
-    best of each pair leave the task. Distances are compared after rounding to ``digits``.
+    One plan at every size: blocks of about ``query_block`` queries and ``corpus_block`` corpus rows
+    are paired by equal block numbers, each pair is one matrix product, and only the k best of each
+    pair leave the task. Distances are compared after rounding to ``digits``.
     """
     wanted = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(vector).cast("array<double>").alias("query_vector"))
     items = corpus.select(F.col(item_id).cast("long").alias("item_id"), F.col(vector).cast("array<double>").alias("item_vector"))
-    head = wanted.limit(query_block + 1).collect() if query_block else []
-    if query_block and len(head) <= query_block:
-        if not head:
-            return items.filter(F.lit(False)).selectExpr(
-                "item_id as query_id", "item_id", "cast(null as double) as distance", "0 as place")
-        partial = _broadcast_queries(head, items, k, digits, skip_self)
-    else:
-        partial = _paired_blocks(wanted, items, k, digits, skip_self, query_block or QUERY_BLOCK, corpus_block)
+    partial = _paired_blocks(wanted, items, k, digits, skip_self, query_block, corpus_block)
     best = Window.partitionBy("query_id").orderBy(F.col("distance").asc_nulls_last(), "item_id")
     return partial.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k)
 
 
-def _broadcast_queries(head: list, items: DataFrame, k: int, digits: int, skip_self: bool) -> DataFrame:
-    ids = np.array([r["query_id"] for r in head], dtype=np.int64)
-    matrix = np.array([r["query_vector"] for r in head], dtype=float)
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                yield _nearest(ids, matrix, batch["item_id"].to_numpy(np.int64), _matrix(batch["item_vector"]), k, digits, skip_self)
-
-    return items.mapInPandas(search, _FOUND)
-
-
 def _paired_blocks(wanted: DataFrame, items: DataFrame, k: int, digits: int, skip_self: bool, query_block: int, corpus_block: int) -> DataFrame:
     n_query = max(1, -(-wanted.count() // query_block))
     n_item = max(1, -(-items.count() // corpus_block))

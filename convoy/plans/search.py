@@ -54,6 +54,6 @@ def knn_dense(spark, sf_dir):
 
 @query("knn_blocks", "O-VEC-2", sql=_DENSE_SQL)
 def knn_blocks(spark, sf_dir):
-    """The same search with query and corpus blocks paired, as used beyond one block of queries."""
+    """The same search in many small blocks of queries and corpus rows."""
     rows = d.table(spark, sf_dir, "embeddings").withColumnRenamed("embedding", "vector")
     return search.cosine_neighbours(rows, rows, 5, "vec_id", "vec_id", digits=6, skip_self=True, query_block=128, corpus_block=256)

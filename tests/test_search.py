@@ -1,4 +1,4 @@
-"""Nearest neighbours against plain numpy, both search paths."""
+"""Nearest neighbours against plain numpy, in one block of queries and in several."""
 
 import numpy as np
 import pytest
@@ -32,6 +32,12 @@ def test_neighbours(spark, block):
             assert got is None if distance == np.inf else got == pytest.approx(distance, abs=1e-9)
 
 
+def test_no_queries_or_no_corpus(spark):
+    some, none = table(spark, np.ones((3, 4))), table(spark, np.ones((0, 4)))
+    assert search.cosine_neighbours(none, some, 2, "id", "id").collect() == []
+    assert search.cosine_neighbours(some, none, 2, "id", "id").collect() == []
+
+
 def test_similar_text_is_closer_and_catalogue_upserts(spark):
     entries = spark.createDataFrame(
         [("P0217", "Engine coolant over-temperature condition"), ("P0524", "Engine oil pressure too low"), ("P0700", "Transmission control system")],
