@@ -61,6 +61,7 @@ class Encoder:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
+        self.firsts: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind).tobytes()
@@ -106,6 +107,14 @@ class Encoder:
             self.marks[sign] = self.whole(sign)
         return self.marks[sign]
 
+    def first(self, item: str) -> bytes:
+        """Ids of a piece at the start of a text, without a space before it."""
+        if item not in self.firsts:
+            if len(self.firsts) >= REMEMBERED:
+                self.firsts = {}
+            self.firsts[item] = self.whole(item)
+        return self.firsts[item]
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         cut: list[list[str] | None] = []
         for text in texts:
@@ -121,7 +130,7 @@ class Encoder:
         self.meet({w for items in cut if items for w in items[1:]})
         ids = self.known.__getitem__
         return [
-            (self.whole(text) if items is None else self.whole(items[0]) + b"".join(map(ids, items[1:]))) + self.end
+            (self.whole(text) if items is None else self.first(items[0]) + b"".join(map(ids, items[1:]))) + self.end
             for text, items in zip(texts, cut)]
 
 
