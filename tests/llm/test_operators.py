@@ -391,3 +391,12 @@ def test_passages_find_every_near_copy(spark):
         rows += [(k, " ".join(fresh(40) + passage + fresh(40))), (k + 1, " ".join(fresh(40) + copy + fresh(40)))]
     got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
     assert {(r["doc_id"], r["of_doc"]) for r in got} == {(k + 1, k) for k in range(0, 800, 2)}
+
+
+def test_passages_with_a_wide_insertion():
+    rng = np.random.default_rng(6)
+    a = " ".join(f"w{k}" for k in rng.integers(0, 1 << 60, 90))
+    b = " ".join([*a.split()[:45], *(f"x{k}" for k in range(8)), *a.split()[45:]])
+    x, y = (passages.token_hashes([t.encode()])[0][:-1] for t in (a, b))
+    assert passages.verified(x, y, (0, 85), (0, 93), 0, 46, 0.8) == [(0, 85, 0, 93, 82 / 98)]
+    assert passages.verified(y, x, (0, 93), (0, 85), 0, 46, 0.8) == [(0, 93, 0, 85, 82 / 98)]
