@@ -400,3 +400,16 @@ def test_passages_with_a_wide_insertion():
     x, y = (passages.token_hashes([t.encode()])[0][:-1] for t in (a, b))
     assert passages.verified(x, y, (0, 85), (0, 93), 0, 46, 0.8) == [(0, 85, 0, 93, 82 / 98)]
     assert passages.verified(y, x, (0, 93), (0, 85), 0, 46, 0.8) == [(0, 93, 0, 85, 82 / 98)]
+
+
+def test_passages_around_frequent_words(spark):
+    rng = np.random.default_rng(8)
+    fresh = lambda n: [f"w{k}" for k in rng.integers(0, 1 << 60, n)]
+    hot, rows, pairs = fresh(40), [], 60
+    for k in range(pairs):  # 60 equal words, of which 40 are in all other texts too
+        passage = fresh(10) + hot + fresh(10)
+        rows += [(2 * k + j, " ".join(fresh(30) + passage + fresh(30))) for j in (0, 1)]
+    rows += [(1000 + k, " ".join(fresh(40) + hot + fresh(40))) for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = passages.repeated_passages(docs.repartition(4)).collect()
+    assert {(r["doc_id"], r["of_doc"]) for r in got} == {(2 * k + 1, 2 * k) for k in range(pairs)}
