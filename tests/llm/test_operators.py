@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from convoy.llm import (classifier, components, decontaminate, extraction, fmindex, language, lines, mixing, passages,
+from convoy.llm import (classifier, components, decontaminate, extraction, fmindex, htmltree, language, lines, mixing, passages,
                         quality_rules, queries, simhash, tokens)
 from convoy.plans.registry import Entry
 
@@ -107,6 +107,15 @@ def test_extraction_odd_pages(spark, sf_dir):
     assert extraction.main_text(pages.limit(0)).count() == 0
 
 
+def test_svg_without_content_ends_in_its_tag():
+    def seen(page):
+        return [n.text for n in htmltree.parse(page) if not n.tag]
+
+    assert seen("<p>one<svg class='a' />two</p><p>three</p><SVG id=\"/>\"><text>no</text></svg>four") == ["one", "two", "three", "four"]
+    assert seen("<p>one<svg/>two</p>") == ["one", "two"]
+    assert seen("<p>one<svg><path d='M0'/><svg/>no</svg>two</p>") == ["one", "two"]
+
+
 def test_marginals_are_those_of_all_labellings():
     nodes = extraction.parse("<div><p>one two</p><nav><a>x</a></nav></div>")
     model = extraction.fit(extraction.layouts(extraction._PLAIN))
