@@ -395,8 +395,8 @@ def test_passages_find_every_near_copy(spark):
     fresh = lambda n: [f"w{k}" for k in rng.integers(0, 1 << 60, n)]
     rows = []
     for k in range(0, 800, 2):
-        passage = fresh(60)
-        copy = passage[:30] + fresh(1) + passage[31:]  # 51 of 61 tokens
+        passage = fresh(50)
+        copy = passage[:25] + fresh(1) + passage[26:]  # 41 of 51 tokens
         rows += [(k, " ".join(fresh(40) + passage + fresh(40))), (k + 1, " ".join(fresh(40) + copy + fresh(40)))]
     got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
     assert {(r["doc_id"], r["of_doc"]) for r in got} == {(k + 1, k) for k in range(0, 800, 2)}
