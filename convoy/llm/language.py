@@ -1,6 +1,6 @@
 """Language identification with bit-sliced Bloom filters.
 
-One table of slots serves all languages: a slot holds a mask with one bit per language. An n-gram of a language sets
+One table of slots serves all languages: a slot holds a mask with one bit per language, in 64-bit words. An n-gram of a language sets
 that bit in its few slots; the intersection of an n-gram's slots is the mask of all languages that (may) have it. A text
 counts, per language, the n-grams whose mask has the bit, takes off what the filter's false positives add, and the
 language with most wins.
@@ -57,29 +57,28 @@ def slots(hashes: np.ndarray, bits: int = SLOT_BITS) -> list[np.ndarray]:
 
 @dataclass(frozen=True)
 class Filter:
-    """The table, its languages in the order of their bits, and each language's chance to hold a foreign n-gram."""
+    """The table (a row of slots per 64 languages), its languages in the order of their bits, and each language's chance to hold a foreign n-gram."""
 
     languages: tuple[str, ...]
     table: np.ndarray
     chance: np.ndarray
 
-    def masks(self, hashes: np.ndarray) -> np.ndarray:
+    def masks(self, hashes: np.ndarray, word: int = 0) -> np.ndarray:
+        """The masks of the ``word``-th 64 languages."""
         out = None
         for s in slots(hashes):
-            out = self.table[s] if out is None else out & self.table[s]
+            out = self.table[word][s] if out is None else out & self.table[word][s]
         return out
 
 
 def build(known: list[tuple[str, np.ndarray]]) -> Filter:
     """Filter from the n-gram hashes of each language."""
     languages = tuple(name for name, _ in known)
-    if len(languages) > 64:
-        raise ValueError("at most 64 languages fit the mask")
-    table = np.zeros(1 << SLOT_BITS, np.uint64)
+    table = np.zeros((-(-len(languages) // 64), 1 << SLOT_BITS), np.uint64)
     for bit, (_, hashes) in enumerate(known):
         for s in slots(hashes):
-            np.bitwise_or.at(table, s, np.uint64(1 << bit))
-    filled = np.array([np.count_nonzero(table >> np.uint64(b) & np.uint64(1)) for b in range(len(languages))]) / len(table)
+            np.bitwise_or.at(table[bit // 64], s, np.uint64(1 << bit % 64))
+    filled = np.array([np.count_nonzero(table[b // 64] >> np.uint64(b % 64) & np.uint64(1)) for b in range(len(languages))]) / (1 << SLOT_BITS)
     return Filter(languages, table, filled**PROBES)
 
 
@@ -119,8 +118,8 @@ def decide(texts: list[str | None], model: Filter) -> tuple[list[str], list[floa
             names.append(UNKNOWN)
             scores.append(0.0)
             continue
-        masks = model.masks(hashes)
-        hits = np.array([np.count_nonzero(masks & np.uint64(1 << b)) for b in range(len(model.languages))], float)
+        masks = [model.masks(hashes, word) for word in range(len(model.table))]
+        hits = np.array([np.count_nonzero(masks[b // 64] & np.uint64(1 << b % 64)) for b in range(len(model.languages))], float)
         n = len(hashes)
         real = np.maximum(hits - n * model.chance, 0) / (1 - model.chance)  # a language has chance * n n-grams that are not its own
         best = int(np.argmax(real))
@@ -130,7 +129,7 @@ def decide(texts: list[str | None], model: Filter) -> tuple[list[str], list[floa
 
 
 def identify(docs: DataFrame, model: Filter, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every row. The filter has a fixed size (2 ** SLOT_BITS slots of 8 bytes)."""
+    """doc_id, held_out, lang_pred, score of every row. The filter has a fixed size (2 ** SLOT_BITS slots of 8 bytes per 64 languages)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

@@ -189,6 +189,13 @@ def test_filter_has_all_languages_of_a_gram():
     assert np.count_nonzero(model.masks(other) & np.uint64(1)) / 20000 == pytest.approx(model.chance[0], abs=0.002)
 
 
+def test_filter_with_more_than_64_languages():
+    texts = {f"l{k:03}": "".join(chr(0x4E00 + 40 * k + j) for j in range(40)) for k in range(130)}
+    model = language.build([(name, language.grams(language.points(text))) for name, text in texts.items()])
+    names, _ = language.decide(list(texts.values()), model)
+    assert names == list(texts)
+
+
 # lines --------------------------------------------------------------------------------------------------------------
 
 def test_lines_odd_rows(spark, odd, none):
