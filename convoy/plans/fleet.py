@@ -98,7 +98,7 @@ def top_predictions(spark, sf_dir):
     kept = d.predictions(spark, sf_dir).filter(F.col("risk_score") >= risk.MIN_SCORE)
     named = kept.join(d.vehicles(spark, sf_dir).select("vehicle_id", "vin"), "vehicle_id")
     rows = named.select("prediction_id", "vin", "failure_type", "risk_score")
-    return risk.newest_rows(rows, risk.MAX_WRITTEN, [F.col("risk_score").desc(), F.col("prediction_id")])
+    return risk.newest_rows(rows, 5000, [F.col("risk_score").desc(), F.col("prediction_id")])
 
 
 # --- alerts (orders as alerts; closed once finished) ----------------------------------------------

@@ -100,7 +100,7 @@ def test_twin_over_batches(spark, folder):
     expected = twin.fold_twin(frame, fields, ["arrival", "seq"], scan.number_chunk(F.col("arrival"), 50))
     as_rows = lambda df: sorted(tuple(r) for r in df.select(*expected.columns).fillna("-").fillna(-1.0).fillna(-1).collect())
     assert as_rows(state) == as_rows(expected)
-    assert len(sinks.versions(spark, f"{folder}/twin")) == 3
+    assert len(sinks.versions(spark, f"{folder}/twin")) == 5
 
 
 def test_retry_replaces_its_own_output(spark, folder):
