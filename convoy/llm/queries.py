@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convoy.llm import classifier, decontaminate, extraction, language, lines, mixing, passages, quality_rules, simhash, tokens
+from convoy.llm import classifier, decontaminate, extraction, language, lines, merkle, mixing, passages, quality_rules, simhash, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -63,6 +63,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_classifier": op2_classifier,
@@ -74,6 +78,7 @@ QUERIES: dict[str, Query] = {
     "op8_mixing": op8_mixing,
     "op9_decontaminate": op9_decontaminate,
     "op10_simhash": op10_simhash,
+    "op11_merkle": op11_merkle,
 }
 
 SQL: dict[str, str] = {
@@ -81,4 +86,5 @@ SQL: dict[str, str] = {
     "op7_lines": lines.SQL,
     "op8_mixing": mixing.SQL,
     "op9_decontaminate": decontaminate.SQL,
+    "op11_merkle": merkle.SQL,
 }
