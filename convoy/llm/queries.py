@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convoy.llm import classifier, decontaminate, extraction, language, lines, merkle, mixing, passages, quality_rules, simhash, tokens
+from convoy.llm import alignment, classifier, decontaminate, extraction, language, lines, merkle, mixing, passages, quality_rules, simhash, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -67,6 +67,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(_read(spark, sf_dir, "documents"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_read(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model")).drop("groups")
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_classifier": op2_classifier,
@@ -79,6 +83,7 @@ QUERIES: dict[str, Query] = {
     "op9_decontaminate": op9_decontaminate,
     "op10_simhash": op10_simhash,
     "op11_merkle": op11_merkle,
+    "op12_alignment": op12_alignment,
 }
 
 SQL: dict[str, str] = {

@@ -42,15 +42,17 @@ class Encoder:
     and tokenizers go through as they are.
     """
 
-    def __init__(self, path: str, end_id: int):
+    def __init__(self, path: str, end_id: int, plain: bool = False):
+        """``plain``: the strings of special tokens are text like any other."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.tok.encode_special_tokens = plain
         made = json.loads(self.tok.to_str())
         before = made.get("pre_tokenizer") or {}
         self.pieces = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not made.get("normalizer")
-        self.special = [t["content"] for t in made.get("added_tokens", [])]
+        self.special = [] if plain else [t["content"] for t in made.get("added_tokens", [])]
         vocabulary = self.tok.get_vocab()
         top = max([end_id, *vocabulary.values()])
         self.kind = np.dtype("<u2") if top < 1 << 16 else np.dtype("<u4")
@@ -115,7 +117,8 @@ class Encoder:
             self.firsts[item] = self.whole(item)
         return self.firsts[item]
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
+    def pieces_of(self, texts: list[str]) -> list[list[str] | None]:
+        """The pieces of each text, known from now on; None for a text that must go through whole."""
         cut: list[list[str] | None] = []
         for text in texts:
             items = text.replace("\n", " \n").split(" ") if self.pieces else None
@@ -127,21 +130,36 @@ class Encoder:
             cut.append(items)
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
+        return cut
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        cut = self.pieces_of(texts)
         self.meet({w for items in cut if items for w in items[1:]})
         ids = self.known.__getitem__
         return [
             (self.whole(text) if items is None else self.first(items[0]) + b"".join(map(ids, items[1:]))) + self.end
             for text, items in zip(texts, cut)]
 
+    def spaced(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text behind a space, without the end id."""
+        cut = self.pieces_of(texts)
+        self.meet({w for items in cut if items for w in items})
+        ids = self.known.__getitem__
+        return [self.whole(" " + text) if items is None else b"".join(map(ids, items)) for text, items in zip(texts, cut)]
 
-def encoder(path: str, end_id: int) -> Encoder:
-    """One per process and file, kept with the library it wraps: functions reach the workers by value, without globals."""
+
+def kept_in_process(key: tuple, make):
+    """What ``make`` gives, once per process; it stays with the tokenizer library, as functions reach the workers by value."""
     import tokenizers
 
     kept = tokenizers.__dict__.setdefault("_encoders", {})
-    if (path, end_id) not in kept:
-        kept[path, end_id] = Encoder(path, end_id)
-    return kept[path, end_id]
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
+def encoder(path: str, end_id: int) -> Encoder:
+    return kept_in_process((path, end_id), lambda: Encoder(path, end_id))
 
 
 def chunks(texts: list[str]):
