@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convoy.llm import alignment, classifier, decontaminate, extraction, language, lines, merkle, mixing, passages, quality_rules, simhash, tokens
+from convoy.llm import alignment, classifier, decontaminate, extraction, language, lines, merkle, mixing, passages, quality_rules, simhash, sketches, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -71,6 +71,10 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(_read(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model")).drop("groups")
 
 
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.edits(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_classifier": op2_classifier,
@@ -84,6 +88,7 @@ QUERIES: dict[str, Query] = {
     "op10_simhash": op10_simhash,
     "op11_merkle": op11_merkle,
     "op12_alignment": op12_alignment,
+    "op13_fingerprints": op13_fingerprints,
 }
 
 SQL: dict[str, str] = {
