@@ -12,7 +12,7 @@ from convoy.operators import evaluate, features, model, risk, rollup
 from convoy.schemas import FAILURE_TYPES
 from convoy.session import build_session, ensure_checkpoint_dir
 from convoy.sources import readers
-from convoy.streaming import sinks
+from convoy.streaming import pipeline, sinks, state
 
 
 def run_features(spark: SparkSession, fast: str, health: str, labels: str, out: str) -> DataFrame:
@@ -75,18 +75,45 @@ def run_catalogue(spark: SparkSession, codes: str, signatures: str, out: str, ve
     sinks.publish(patterns, f"{out}/signatures", version)
 
 
+def run_stream(spark: SparkSession, messages: str, vehicles: str, out: str, shards: int = 32, once: bool = False, servers: str | None = None) -> list:
+    """The live layer: raw messages (files of topic, value, arrival in a folder, or Kafka topics where ``servers`` is given)
+    to dead letters, accepted messages, enriched alerts, day tables, lake, archive and the twin. Waits where ``once``."""
+    paths = pipeline.Paths(out)
+    raw = readers.kafka_stream(spark, servers, messages) if servers else readers.message_stream(spark, messages, f"{readers.RAW_SCHEMA}, arrival long")
+    queries = [pipeline.start_routing(raw, paths, shards, once)]
+    if once:
+        queries[0].awaitTermination()
+    queries += pipeline.start_pipeline(pipeline.accepted_stream(spark, paths), paths, vehicles, once)
+    if once:
+        for query in queries[1:]:
+            query.awaitTermination()
+    return queries
+
+
+def run_fold(spark: SparkSession, out: str, before: str | None = None) -> None:
+    """Daily upkeep of the live tables: folds the twin's changes into its view; drops the days before ``before``."""
+    paths = pipeline.Paths(out)
+    state.fold_changes(spark, paths.data("twin"))
+    for name in ("telemetry_fast", "telemetry_health") if before else ():
+        sinks.drop_days(spark, paths.data(name), before)
+
+
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="convoy.jobs")
     jobs = parser.add_subparsers(dest="job", required=True)
     wanted = {
         "features": ["fast", "health", "labels", "out"], "rollup": ["fast", "out", "now"], "train": ["table", "vehicles", "out", "version"],
         "refresh-risk": ["predictions", "out", "version"], "catalogue": ["codes", "signatures", "out", "version"],
+        "stream": ["messages", "vehicles", "out"], "fold": ["out"],
     }
     for name, options in wanted.items():
         job = jobs.add_parser(name)
         for option in options:
             job.add_argument(f"--{option}", required=True)
     jobs.choices["train"].add_argument("--as-of")
+    jobs.choices["stream"].add_argument("--servers")
+    jobs.choices["stream"].add_argument("--once", action="store_true")
+    jobs.choices["fold"].add_argument("--before")
     args = parser.parse_args(argv)
     spark = build_session(f"convoy-{args.job}")
     if args.job == "features":
@@ -97,6 +124,14 @@ def main(argv: list[str] | None = None) -> None:
         run_training(spark, args.table, args.vehicles, args.out, args.version, args.as_of)["backtest"].show(truncate=False)
     elif args.job == "refresh-risk":
         run_risk_refresh(spark, args.predictions, args.out, int(args.version))
+    elif args.job == "stream":
+        if not args.once:
+            run_stream(spark, args.messages, args.vehicles, args.out, servers=args.servers)
+            spark.streams.awaitAnyTermination()
+        else:
+            run_stream(spark, args.messages, args.vehicles, args.out, once=True, servers=args.servers)
+    elif args.job == "fold":
+        run_fold(spark, args.out, args.before)
     else:
         run_catalogue(spark, args.codes, args.signatures, args.out, int(args.version))
 

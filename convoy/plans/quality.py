@@ -60,13 +60,13 @@ def quarantine(spark, sf_dir):
     return quality.judge(raw_messages(spark, sf_dir), SHARDS).select("seq", "reason")
 
 
-@query("quarantine_counts", "O-VAL-5", "O-AGG-14", "O-SNK-4",
+@query("quarantine_counts", "O-VAL-5",
        sql=f"WITH {d.SIG} SELECT coalesce({_REASON_SQL}, 'accepted') AS reason, count(*) AS messages FROM sig GROUP BY ALL")
 def quarantine_counts(spark, sf_dir):
     return quality.reason_counts(quality.judge(raw_messages(spark, sf_dir), SHARDS))
 
 
-@query("accepted_messages", "O-SRC-1", "O-SRC-5", "O-FLT-1",
+@query("accepted_messages", "O-FLT-1",
        sql=f"""WITH {d.TEL} SELECT seq, tenant, msg_type, speed_kmh, coolant_c, charge_v, date_trunc('millisecond', event_time) AS event_time FROM tel WHERE {_REASON_SQL} IS NULL""")
 def accepted_messages(spark, sf_dir):
     flat = quality.flatten(quality.accepted(quality.judge(raw_messages(spark, sf_dir), SHARDS)))

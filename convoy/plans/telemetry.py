@@ -228,7 +228,7 @@ _KNOWN_SQL = f"known AS (SELECT concat('V', lpad(cast(c_custkey as string), 16,
 
 
 @query(
-    "alert_enrich", "O-JOIN-6", "O-SNK-7",
+    "alert_enrich", "O-JOIN-6",
     sql=f"""WITH {d.TEL}, {_KNOWN_SQL}, a AS ({_THRESHOLD_SQL} UNION ALL {_MISFIRE_SQL})
             SELECT a.vin, k.vehicle_id, k.tenant, failure_type, severity, source, dtc_codes, detected_at FROM a JOIN known k ON k.vin = a.vin""",
 )

@@ -9,11 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from convoy import schemas as S
-from convoy.operators import quality, rules, scan, twin
+from convoy.operators import quality, rules
+from convoy.streaming import counters, sinks, state
 from convoy.streaming import operators as so
-from convoy.streaming import sinks
-
-TWIN_FIELDS = [n for n, _ in S.PAYLOAD_FIELDS]
 
 
 @dataclass
@@ -32,7 +30,7 @@ class Paths:
 
 
 def route_batch(paths: Paths, shards: int, shard=quality.md5_shard):
-    """Stateless routes of one micro-batch from one parse: dead letters, archive, row alerts, counts."""
+    """From one parse of a micro-batch: dead letters, counts by reason, accepted messages."""
 
     def write(batch: DataFrame, number: int) -> None:
         judged = quality.judge(batch, shards, shard=shard).persist()
@@ -40,18 +38,43 @@ def route_batch(paths: Paths, shards: int, shard=quality.md5_shard):
             messages = quality.accepted(judged, *[c for c in ("arrival",) if c in batch.columns])
             sinks.write_batch(quality.quarantined(judged), paths.data("dead_letters"), number, "reason")
             sinks.write_batch(quality.reason_counts(judged), paths.data("counters"), number)
-            sinks.write_batch(sinks.archived(messages), paths.data("accepted"), number)
-            flat = quality.flatten(messages)
-            alerts = rules.row_alerts(flat, rules.ROW_RULES + rules.ELEMENT_RULES)
-            sinks.write_batch(alerts, paths.data("alerts_rows"), number, "tenant")
+            sinks.write_batch(messages, paths.data("accepted"), number)
         finally:
             judged.unpersist()
 
     return write
 
 
+def alert_stream(
+    timed: DataFrame, window: str = "30 seconds", slide: str = "5 seconds", within_seconds: int = 600, skip: str = "past_last"
+) -> DataFrame:
+    """The firings of all ten rules on a watermarked stream of flat messages, as one stream."""
+    raised = [
+        rules.row_alerts(timed, rules.ROW_RULES + rules.ELEMENT_RULES),
+        rules.sustained_alerts(timed, rules.SUSTAINED_RULES, window=window, slide=slide),
+        so.misfire_recurrence(timed, within_seconds, skip),
+    ]
+    return raised[0].unionByName(raised[1]).unionByName(raised[2])
+
+
+def alert_batch(paths: Paths, vehicles: str):
+    """Alerts of known vehicles with vehicle id and owner's tenant, and counts of unknown VINs. The vehicle table is read
+    anew in each batch, so a vehicle that was added a moment ago is known."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        fleet = batch.sparkSession.read.parquet(vehicles)
+        batch = batch.persist()
+        try:
+            sinks.write_batch(rules.enrich_alerts(batch, fleet), paths.data("alerts"), number, "tenant")
+            sinks.write_batch(rules.unknown_alerts(batch, fleet), paths.data("unknown_vins"), number)
+        finally:
+            batch.unpersist()
+
+    return write
+
+
 def store_batch(paths: Paths):
-    """Deduplicated messages into the FAST table, the HEALTH table and the lake."""
+    """Deduplicated messages into the FAST table, the HEALTH table and the lake, by day."""
 
     def write(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
@@ -61,69 +84,41 @@ def store_batch(paths: Paths):
                 rows = batch.filter(F.col("msg_type") == kind).select(
                     F.col("event_time").alias("ts"), "vin", "tenant", "seq", *[f"payload.{n}" for n, _ in fields], day
                 )
-                sinks.write_batch(rows, paths.data(f"telemetry_{kind.lower()}"), number, "dt")
-            sinks.write_batch(sinks.lake_rows(batch), paths.data("lake"), number, "dt")
+                sinks.write_days(rows, paths.data(f"telemetry_{kind.lower()}"), number)
+            sinks.write_days(sinks.lake_rows(batch), paths.data("lake"), number)
         finally:
             batch.unpersist()
 
     return write
 
 
-def merge_twin(state: DataFrame | None, batch: DataFrame, fields: list[str], order: list[str], chunk) -> DataFrame:
-    """Latest state after one more batch of messages.
+def start_routing(raw: DataFrame, paths: Paths, shards: int, once: bool = False) -> StreamingQuery:
+    """``raw`` (topic, value and perhaps arrival) into dead letters, counts and accepted messages."""
+    return sinks.start(raw, paths.checkpoint("route"), route_batch(paths, shards), once, name="route")
 
-    Messages not newer than the stored sequence number of their kind are dropped, the rest is
-    folded like a batch table, and the partial documents are laid over the stored ones.
-    """
-    kinds = ("FAST", "HEALTH", "EVENT")
-    last = {k: f"last_seq_{k.lower()}" for k in kinds}
-    if state is None:
-        return twin.fold_twin(batch, fields, order, chunk)
-    stored = state.select("vin", *[F.col(c).alias(f"_{c}") for c in last.values()])
-    known = batch.join(stored, "vin", "left")
-    limit = F.coalesce(*[F.when(F.col("msg_type") == k, F.col(f"_{c}")) for k, c in last.items()])
-    fresh = known.filter(limit.isNull() | (F.col("seq") > limit)).select(*batch.columns)
-    update = twin.fold_twin(fresh, fields, order, chunk)
-    old, new = state.alias("o"), update.alias("n")
-    merged = old.join(new, F.col("o.vin") == F.col("n.vin"), "full_outer")
-    newest_first = ["updated_at", "last_msg_type", *fields]
-    return merged.select(
-        F.coalesce("n.vin", "o.vin").alias("vin"), F.coalesce("o.tenant", "n.tenant").alias("tenant"),
-        *[F.coalesce(f"n.{c}", f"o.{c}").alias(c) for c in newest_first[:2]],
-        *[F.greatest(f"n.{c}", f"o.{c}").alias(c) for c in last.values()],
-        *[F.coalesce(f"n.{c}", f"o.{c}").alias(c) for c in newest_first[2:]],
-    )
-
-
-def twin_batch(base: str, fields: list[str], order: list[str], chunk_width: float):
-    """Keeps the twin as versioned tables; a retried batch starts again from the version before it."""
 
-    def write(batch: DataFrame, number: int) -> None:
-        state = sinks.current(batch.sparkSession, base, before=number)
-        merged = merge_twin(state, batch, fields, order, scan.number_chunk(F.col(order[0]), chunk_width))
-        sinks.publish(merged, base, number)
+def start_pipeline(accepted: DataFrame, paths: Paths, vehicles: str, once: bool = False, order: tuple[str, ...] = ("arrival", "seq"), **rule_times) -> list[StreamingQuery]:
+    """The live layer on the stream of accepted messages (nested payload, ``event_time``, the order columns).
 
-    return write
-
-
-def start_pipeline(raw: DataFrame, accepted: DataFrame, paths: Paths, shards: int, once: bool = False) -> list[StreamingQuery]:
-    """All queries of the live layer.
-
-    ``raw`` has topic and value. ``accepted`` is the stream of accepted messages (nested payload,
-    ``event_time``, ``arrival``). Window and pattern rules read it before duplicates are dropped,
-    stored tables after.
+    Rules read the stream before duplicates are dropped, stored tables after. The twin drops stale messages itself; the
+    archive holds what it accepted. Metrics: ``store.received``, ``store.unique`` (as one minus the other, duplicates and
+    late rows), ``twin.accepted``, ``twin.stale``, ``alerts.raised``.
     """
-    timed = so.with_event_time(accepted)
-    flat = timed.select("*", "payload.*").drop("payload")
-    deduped = so.drop_duplicates(accepted.filter("tenant IS NOT NULL AND event_time IS NOT NULL"), ["vin", "seq"])
-    sustained = rules.sustained_alerts(flat, rules.SUSTAINED_RULES)
+    accepted.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", so.ROCKSDB)
+    one = F.lit(1)
+    flat = so.with_event_time(accepted).select("*", "payload.*").drop("payload")
+    alerts = counters.observed(alert_stream(flat, **rule_times), "alerts", raised=one)
+    named = counters.observed(accepted.filter("tenant IS NOT NULL AND event_time IS NOT NULL"), "store", received=one)
+    stored = counters.observed(so.drop_duplicates(named, ["vin", "seq"]), "kept", unique=one)
+    changes = counters.observed(state.twin_changes(accepted, list(order), archive=True), "twin", accepted=F.col("accepted"), stale=F.col("stale"))
     return [
-        sinks.start(raw, paths.checkpoint("route"), route_batch(paths, shards), once),
-        sinks.start(deduped, paths.checkpoint("store"), store_batch(paths), once),
-        sinks.start_files(sustained, paths.data("alerts_sustained"), paths.checkpoint("sustained"), "tenant", once=once),
-        sinks.start_files(so.misfire_recurrence(flat), paths.data("alerts_recurrence"), paths.checkpoint("recurrence"), "tenant", once=once),
-        sinks.start(
-            accepted.select("*", "payload.*").drop("payload"), paths.checkpoint("twin"),
-            twin_batch(paths.data("twin"), TWIN_FIELDS, ["arrival", "seq"], 100_000), once,
-        ),
+        sinks.start(alerts, paths.checkpoint("alerts"), alert_batch(paths, vehicles), once, name="alerts"),
+        sinks.start(stored, paths.checkpoint("store"), store_batch(paths), once, name="store"),
+        sinks.start(changes, paths.checkpoint("twin"), state.store_changes(paths.data("twin"), S.PAYLOAD_FIELDS, paths.data("archive"), S.MESSAGE_SCHEMA), once, name="twin"),
     ]
+
+
+def accepted_stream(spark, paths: Paths, arrival: bool = True, files: int = 1000) -> DataFrame:
+    """The accepted messages that routing wrote, as a stream of at most so many files a micro-batch."""
+    schema = S.MESSAGE_SCHEMA + (", arrival long" if arrival else "")
+    return spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files).parquet(paths.data("accepted")).withColumn("event_time", F.col("ts"))

@@ -12,14 +12,36 @@ BatchWriter = Callable[[DataFrame, int], None]
 
 
 def write_batch(df: DataFrame, path: str, batch: int, *partitions: str) -> None:
-    """Appends a micro-batch under its own ``batch=N`` directories, replacing a failed attempt."""
+    """Appends a micro-batch as the folder ``batch=N``. A batch that is run again leaves a complete folder as it is, so
+    that no running reader loses its files or meets rows twice; what a failed attempt left is replaced."""
+    folder = f"{path}/batch={batch}"
+    if _exists(df.sparkSession, f"{folder}/_SUCCESS"):
+        df.write.format("noop").mode("overwrite").save()  # the batch's state must still be brought forward
+        return
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
+    (writer.partitionBy(*partitions) if partitions else writer).parquet(folder)
+
+
+def write_days(df: DataFrame, path: str, batch: int, day: str = "dt") -> None:
+    """Appends a micro-batch with the day as the outer folder, ``dt=D/batch=N``, so a reader of some days lists only those;
+    a batch that is run again replaces its own folders."""
     named = df.withColumn("batch", F.lit(batch))
-    named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", *partitions).parquet(path)
+    named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day, "batch").parquet(path)
+
 
+def drop_days(spark: SparkSession, path: str, before: str, day: str = "dt") -> list[str]:
+    """Removes the folders of all days before ``before`` (yyyy-mm-dd) and returns them. Readers list folders when they
+    start, so drop days that no job reads any more."""
+    old = [d for d in _children(spark, path, f"{day}=") if d < before]
+    for value in old:
+        remove(spark, f"{path}/{day}={value}")
+    return old
 
-def start(stream: DataFrame, checkpoint: str, writer: BatchWriter, once: bool = False, every: str = "30 seconds") -> StreamingQuery:
+
+def start(stream: DataFrame, checkpoint: str, writer: BatchWriter, once: bool = False, every: str = "30 seconds", name: str | None = None) -> StreamingQuery:
     """Runs ``writer`` per micro-batch, continuously or over all data available now."""
     query = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(writer)
+    query = query.queryName(name) if name else query
     return (query.trigger(availableNow=True) if once else query.trigger(processingTime=every)).start()
 
 
@@ -58,18 +80,35 @@ def _folder(spark: SparkSession, path: str):
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    fs, place = _folder(spark, path)
+    return fs.exists(place)
+
+
+def _children(spark: SparkSession, path: str, prefix: str) -> list[str]:
+    """What follows ``prefix`` in the names of a folder's entries, sorted."""
+    fs, folder = _folder(spark, path)
+    names = [status.getPath().getName() for status in fs.listStatus(folder)] if fs.exists(folder) else []
+    return sorted(n[len(prefix):] for n in names if n.startswith(prefix))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, place = _folder(spark, path)
+    fs.delete(place, True)
+
+
+def _complete(spark: SparkSession, base: str, prefix: str) -> list[int]:
+    return sorted(int(n) for n in _children(spark, base, prefix) if _exists(spark, f"{base}/{prefix}{n}/_SUCCESS"))
+
+
+def batches(spark: SparkSession, base: str) -> list[int]:
+    """Completed micro-batches of a table written by ``write_batch``."""
+    return _complete(spark, base, "batch=")
+
+
 def versions(spark: SparkSession, base: str) -> list[int]:
     """Completed versions of a table kept as ``base/version=N``."""
-    fs, folder = _folder(spark, base)
-    if not fs.exists(folder):
-        return []
-    found = []
-    for status in fs.listStatus(folder):
-        name = status.getPath().getName()
-        done = spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-        if name.startswith("version=") and fs.exists(done):
-            found.append(int(name.split("=", 1)[1]))
-    return sorted(found)
+    return _complete(spark, base, "version=")
 
 
 def current(spark: SparkSession, base: str, before: int | None = None) -> DataFrame | None:
@@ -85,6 +124,5 @@ def publish(df: DataFrame, base: str, version: int, keep: int | None = None) ->
     df.write.mode("overwrite").parquet(f"{base}/version={version}")
     if keep is None:
         return
-    fs, _ = _folder(spark, base)
     for old in versions(spark, base)[:-keep]:
-        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{base}/version={old}"), True)
+        remove(spark, f"{base}/version={old}")

@@ -11,7 +11,7 @@ from convoy.functions.shard import md5_shard
 from convoy.operators import dedup, pattern, rollup, rules, scan, twin
 from convoy.sources import readers
 from convoy.streaming import operators as so
-from convoy.streaming import pipeline, sinks
+from convoy.streaming import counters, pipeline, sinks, state
 
 START = dt.datetime(2024, 1, 1)
 SCHEMA = ("vin string, tenant string, msg_type string, seq long, event_time timestamp, arrival long, event_type string, dtc string, "
@@ -88,19 +88,69 @@ def test_dedup(spark, folder):
     assert sorted((r.vin, r.seq) for r in kept) == sorted((r[0], r[3]) for r in rows)
 
 
+def nested(df, fields):
+    return df.select("vin", "tenant", "msg_type", "seq", "event_time", "arrival", F.struct(*fields).alias("payload"))
+
+
+def as_rows(df, columns):
+    return sorted((tuple(r) for r in df.select(*columns).fillna("-").fillna(-1.0).fillna(-1).collect()), key=repr)
+
+
 def test_twin_over_batches(spark, folder):
+    """Keyed state over five batches equals the batch fold; a batch writes only the vehicles it names."""
     rng = random.Random(2)
     rows = [(*r[:3], max(0, r[3] + rng.randrange(-30, 3)), *r[4:]) for r in messages()]
     frame, stream = feed(spark, folder, rows, parts=5)
-    ordered = stream.withColumn("arrival", F.col("arrival"))
-    fields = ["coolant_c", "trans_c", "dtc"]
-    writer = pipeline.twin_batch(f"{folder}/twin", fields, ["arrival", "seq"], 50)
-    sinks.start(ordered, f"{folder}/_c", writer, once=True).awaitTermination()
-    state = sinks.current(spark, f"{folder}/twin")
-    expected = twin.fold_twin(frame, fields, ["arrival", "seq"], scan.number_chunk(F.col("arrival"), 50))
-    as_rows = lambda df: sorted(tuple(r) for r in df.select(*expected.columns).fillna("-").fillna(-1.0).fillna(-1).collect())
-    assert as_rows(state) == as_rows(expected)
-    assert len(sinks.versions(spark, f"{folder}/twin")) == 5
+    fields = [("coolant_c", "double"), ("trans_c", "double"), ("dtc", "string")]
+    names = [n for n, _ in fields]
+    changes = state.twin_changes(nested(stream, names), ["arrival", "seq"], archive=True)
+    writer = state.store_changes(f"{folder}/twin", fields, f"{folder}/archive", "vin string, msg_type string, seq bigint, event_time timestamp")
+    sinks.start(changes, f"{folder}/_c", writer, once=True).awaitTermination()
+    expected = twin.fold_twin(frame, names, ["arrival", "seq"], scan.number_chunk(F.col("arrival"), 50))
+    assert as_rows(state.current_twin(spark, f"{folder}/twin"), expected.columns) == as_rows(expected, expected.columns)
+    fresh = dedup.drop_stale(frame, ["vin", "msg_type"], "seq", [F.col("arrival"), F.col("seq")], scan.number_chunk(F.col("arrival"), 50))
+    columns = ["vin", "msg_type", "seq", "event_time"]
+    assert as_rows(spark.read.parquet(f"{folder}/archive"), columns) == as_rows(fresh, columns)
+    per_batch = {r.batch: r.n for r in spark.read.parquet(f"{folder}/twin/changes").groupBy("batch").agg(F.count("*").alias("n")).collect()}
+    size = -(-len(rows) // 5)
+    for number, n in per_batch.items():
+        assert n <= len({r[0] for r in rows[number * size:(number + 1) * size]})
+    assert "end" not in {r.vin for r in spark.read.parquet(f"{folder}/twin/changes/batch=0").collect()}
+
+
+def test_folding_the_view_removes_what_no_reader_needs(spark, folder):
+    def change(batch, *rows):
+        made = spark.createDataFrame(rows, "vin string, x int, revision long")
+        sinks.write_batch(made, f"{folder}/changes", batch)
+
+    now = lambda: {r.vin: r.x for r in state.current_twin(spark, folder).collect()}
+    assert state.current_twin(spark, folder) is None and state.fold_changes(spark, folder) is None
+    change(0, ("a", 1, 1), ("b", 1, 1))
+    change(1, ("a", 2, 2))
+    assert now() == {"a": 2, "b": 1}
+    assert state.fold_changes(spark, folder) == 1 and now() == {"a": 2, "b": 1}
+    assert state.fold_changes(spark, folder) == 1
+    change(2, ("c", 5, 1))
+    reader = state.current_twin(spark, folder)
+    assert state.fold_changes(spark, folder) == 2 and now() == {"a": 2, "b": 1, "c": 5}
+    assert {r.vin for r in reader.collect()} == {"a", "b", "c"}  # one that began before the fold
+    assert sinks.batches(spark, f"{folder}/changes") == [2]
+    change(3, ("b", 9, 2))
+    change(4, ("c", 6, 2))
+    assert state.fold_changes(spark, folder) == 4 and now() == {"a": 2, "b": 9, "c": 6}
+    assert sinks.versions(spark, f"{folder}/view") == [2, 4] and sinks.batches(spark, f"{folder}/changes") == [3, 4]
+
+
+def test_days_are_outermost_and_dropped(spark, folder):
+    rows = spark.createDataFrame([(1, "2024-01-01"), (2, "2024-01-02"), (3, "2024-01-09")], "x int, dt string")
+    for batch in (0, 0, 1):
+        sinks.write_days(rows, f"{folder}/t", batch)
+    stored = spark.read.parquet(f"{folder}/t")
+    assert stored.count() == 6
+    plan = stored.filter("dt >= DATE '2024-01-05'")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(dt" in plan
+    assert sinks.drop_days(spark, f"{folder}/t", "2024-01-03") == ["2024-01-01", "2024-01-02"]
+    assert {r.x for r in spark.read.parquet(f"{folder}/t").collect()} == {3}
 
 
 def test_retry_replaces_its_own_output(spark, folder):
@@ -142,21 +192,26 @@ def test_pipeline_end_to_end(spark, folder):
     late = dict(vin=vin, msg_type="FAST", seq=100, ts="2024-01-01T03:00:00Z", fw_version="1", payload=dict(base))
     lines.append((topic, json.dumps(late), 60))
     spark.createDataFrame(lines, "topic string, value string, arrival long").write.json(f"{folder}/raw")
-    paths = pipeline.Paths(f"{folder}/out")
+    paths, seen = pipeline.Paths(f"{folder}/out"), counters.Counters()
+    spark.createDataFrame([(vin, 7, "owner")], "vin string, vehicle_id long, tenant string").write.parquet(f"{folder}/vehicles")
     raw = readers.message_stream(spark, f"{folder}/raw", "topic string, value string, arrival long")
-    sinks.start(raw, paths.checkpoint("route"), pipeline.route_batch(paths, 32), once=True).awaitTermination()
-    accepted_schema = spark.read.parquet(paths.data("accepted")).schema
-    accepted = spark.readStream.schema(accepted_schema).parquet(paths.data("accepted")).withColumn("event_time", F.col("ts"))
-    for query in pipeline.start_pipeline(raw, accepted, paths, 32, once=True):
-        query.awaitTermination()
+    spark.streams.addListener(seen)
+    pipeline.start_routing(raw, paths, 32, once=True).awaitTermination()
+    for query in pipeline.start_pipeline(pipeline.accepted_stream(spark, paths), paths, f"{folder}/vehicles", once=True):
+        seen.wait(query)
+    spark.streams.removeListener(seen)
     read = lambda name: spark.read.parquet(paths.data(name))
     assert {r.reason: r.messages for r in read("counters").collect()} == {"accepted": 42, "bad_json": 1, "bad_topic": 1}
     assert read("dead_letters").count() == 2
-    assert read("telemetry_fast").count() == 41 and read("lake").count() == 41
-    assert read("alerts_rows").filter("failure_type = 'lubrication'").count() == 1
-    assert read("alerts_sustained").filter("failure_type = 'cooling'").count() > 5
-    state = sinks.current(spark, paths.data("twin")).first()
-    assert (state.vin, state.last_seq_fast, state.coolant_c, state.oil_kpa) == (vin, 100, 115.0, 300.0)
+    assert read("telemetry_fast").count() == 41 and read("lake").count() == 41 and read("archive").count() == 41
+    alerts = read("alerts")
+    assert alerts.filter("failure_type = 'lubrication'").count() == 1 and alerts.filter("failure_type = 'cooling'").count() > 5
+    assert {(r.vehicle_id, r.tenant) for r in alerts.collect()} == {(7, "owner")} and read("unknown_vins").count() == 0
+    totals = seen.totals()
+    assert (totals["store.received"], totals["kept.unique"], totals["twin.accepted"], totals["twin.stale"]) == (42, 41, 41, 1)
+    assert totals["alerts.raised"] == alerts.count()
+    now = state.current_twin(spark, paths.data("twin")).first()
+    assert (now.vin, now.last_seq_fast, now.coolant_c, now.oil_kpa) == (vin, 100, 115.0, 300.0)
 
 
 def test_topics_are_separated(spark):
