@@ -1,10 +1,11 @@
 """SimHash near-duplicates by meet-in-the-middle ball hashing.
 
-Two fingerprints within ``distance`` bits meet: each emits all variants within half the distance, and a variant that both
-emit proves the link (half + half bits). So all emitters of a variant hang on the smallest of them: one edge per row,
-never all pairs. Fingerprints that cannot have a neighbour are put aside first: of two halves of 32 bits, one differs by
-at most half the distance, so neighbours meet in a ball of a quarter of the distance around that half. That test is
-exact (it only drops fingerprints without a neighbour) and costs 66 keys a fingerprint instead of 2,081.
+Two fingerprints within ``distance`` bits differ, outside the third of their bits that differs most, by at most two thirds of
+the distance: with 4 bits, by 2 in the other two thirds. Each emits the ball of half that radius around its three pairs
+of thirds (131 variants with 4 bits); two that share a variant are a candidate, their full distance decides. A pair of
+thirds has 42 or 43 bits, so hardly any meet by chance and the work grows with the rows. A variant that very many
+fingerprints share is not compared pair by pair: its fingerprints emit all variants of their 64 bits within half the
+distance, and a variant that both emit proves the link (half + half bits), so all hang on the smallest of them.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ BITS = 64
 #: Rows that 8-bit counters can add up.
 COUNTED = 255
 _SPREAD = np.uint64(0x0101010101010101)
+#: Tasks over which the rows of one component are spread.
+SALTS = 32
 FINGERPRINTS = "doc_id long, fp long"
 
 
@@ -96,77 +99,158 @@ def _stars(members: DataFrame, key: str) -> DataFrame:
     return members.join(stored(least, "least"), key).where("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b")).distinct()
 
 
-def _first_meeting(key: Column, a: Column, b: Column) -> Column:
-    """Of the keys at which two fingerprints meet, true at one only: in the low half if they meet there, and there at the
-    smaller of two keys that mirror each other, or at the half itself when it is equal."""
-    side, at = F.shiftright(key, 32), key.bitwiseAND(F.lit(0xFFFFFFFF))
-    low = a.bitwiseXOR(b).bitwiseAND(F.lit(0xFFFFFFFF))
-    half = F.when(side == 0, a.bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(F.shiftrightunsigned(a, 32))
-    differ = F.when(side == 0, low).otherwise(F.shiftrightunsigned(a.bitwiseXOR(b), 32))
-    return ((side == 0) | (F.bit_count(low) > 2)) & F.when(differ == 0, at == half).otherwise(at < at.bitwiseXOR(differ))
+def _thirds() -> list[tuple[Column, int]]:
+    """The three pairs of thirds of a fingerprint, and their bits: the low 42, the high 43, and both ends."""
+    fp = F.col("fp")
+    low, high = fp.bitwiseAND(F.lit((1 << 21) - 1)), F.shiftrightunsigned(fp, 42)
+    return [(fp.bitwiseAND(F.lit((1 << 42) - 1)), 42), (F.shiftrightunsigned(fp, 21), 43), (low.bitwiseOR(F.shiftleft(high, 21)), 43)]
+
+
+def _parts(fp: np.ndarray) -> list[np.ndarray]:
+    """The same of unsigned fingerprints."""
+    one = np.uint64
+    return [fp & one((1 << 42) - 1), fp >> one(21), (fp & one((1 << 21) - 1)) | ((fp >> one(42)) << one(21))]
+
+
+def _variants(radius: int) -> Column:
+    """All keys of a fingerprint: variants of each pair of thirds, with the number of the pair above its bits."""
+    def ball(part: Column, bits: int, number: int) -> Column:
+        return F.transform(_masks(bits, radius), lambda m: part.bitwiseXOR(m) + F.lit(number << 44))
+
+    return F.concat(*[ball(part, bits, number) for number, (part, bits) in enumerate(_thirds())])
+
+
+def _settled(keys: np.ndarray, a: np.ndarray, b: np.ndarray, distance: int, radius: int) -> np.ndarray:
+    """Which candidates are links that this key reports: within the distance, in the first pair of thirds where the two can
+    meet. They may meet at several keys of it; what is reported twice falls together later."""
+    differ = [np.bitwise_count(x ^ y) for x, y in zip(_parts(a), _parts(b))]
+    side = (keys >> np.uint64(44)).astype(np.int64)
+    can = [d <= 2 * radius for d in differ]
+    first = np.where(can[0], 0, np.where(can[1], 1, 2))
+    near = (np.bitwise_count(a ^ b) <= distance) & (first == side)
+    same = np.choose(side, differ) == 0  # equal there: all keys of the ball are common, only its centre reports
+    return near & (~same | (np.choose(side, _parts(a)) == keys & np.uint64((1 << 44) - 1)))
+
+
+def _meetings(distance: int, radius: int, crowd: int):
+    """(key, fp) sorted by key -> links (a, b), and (a, null) for each fingerprint of a crowded key."""
+
+    def links_of(keys, fps):
+        change = np.append(True, keys[1:] != keys[:-1])
+        starts = np.flatnonzero(change)
+        sizes = np.diff(np.append(starts, len(keys)))
+        at = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= crowd), sizes))
+        end = np.repeat(starts + sizes, sizes)
+        out_a, out_b = [fps[:0]], [fps[:0]]
+        step = 1
+        while len(at := at[at + step < end[at]]):
+            a, b = fps[at], fps[at + step]
+            good = _settled(keys[at], a, b, distance, radius)
+            out_a.append(np.maximum(a[good], b[good]))
+            out_b.append(np.minimum(a[good], b[good]))
+            step += 1
+        return np.concatenate(out_a), np.concatenate(out_b), fps[np.repeat(sizes > crowd, sizes)]
+
+    def batch_of(a, b=None):
+        none = pa.nulls(len(a), pa.int64()) if b is None else pa.array(b.view(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), none], names=["a", "b"])
+
+    def run(batches):
+        keys = fps = np.zeros(0, np.uint64)
+        crowded = None  # a key that is known to be crowded: its further rows need not be kept
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                more = [batch.column(k).to_numpy().view(np.uint64) for k in (0, 1)]
+                if crowded is not None:
+                    same = more[0] == crowded
+                    if same.any():
+                        yield batch_of(more[1][same])
+                        more = [x[~same] for x in more]
+                if not len(more[0]):
+                    continue
+                keys, fps = np.concatenate([keys, more[0]]), np.concatenate([fps, more[1]])
+                cut = int(np.flatnonzero(keys != keys[-1])[-1]) + 1 if keys[0] != keys[-1] else 0
+            else:
+                cut = len(keys)
+            if cut:
+                a, b, many = links_of(keys[:cut], fps[:cut])
+                yield batch_of(a, b)
+                yield batch_of(many)
+                keys, fps = keys[cut:], fps[cut:]
+            if len(keys) > crowd:
+                crowded = keys[0]
+                yield batch_of(fps)
+                keys, fps = keys[:0], fps[:0]
+
+    return run
 
 
 def links(nodes: DataFrame, distance: int = 4, crowd: int = 1024) -> DataFrame:
     """Different fingerprints (column fp) -> (a, b) edges whose components are those of all pairs within ``distance`` bits.
 
-    Halves first: neighbours share a key of a half's ball. A key with up to ``crowd`` fingerprints is settled by
-    comparing them, at most ``crowd`` comparisons a row; those of more crowded keys emit the full ball. Both are exact.
+    The fingerprints of a key are compared if they are up to ``crowd``, so a row has at most that many comparisons; those
+    of more crowded keys emit the full ball. Both are exact.
     """
-    mask = _masks(BITS // 2, distance // 4)
-    low = F.transform(mask, lambda m: F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseXOR(m))
-    high = F.transform(mask, lambda m: F.shiftrightunsigned("fp", 32).bitwiseXOR(m) + F.lit(1 << 32))
-    keys = nodes.select("fp", F.explode(F.concat(low, high)).alias("key"))
-    met = stored(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "met")
-    rows = stored(keys.join(met, "key").select("key", "n", "fp"), "meeting")
-    groups = rows.where(F.col("n") <= crowd).groupBy("key").agg(F.collect_list("fp").alias("fps"))
-    near = groups.select("key", "fps", F.explode("fps").alias("a")).select(
-        "a", F.explode(F.filter("fps", lambda b: (b > F.col("a")) & (F.bit_count(b.bitwiseXOR(F.col("a"))) <= distance) & _first_meeting(F.col("key"), F.col("a"), b))).alias("b"))
-    crowded = stored(rows.where(F.col("n") > crowd).select("fp").distinct(), "crowded")
+    radius = -(-(distance - -(-distance // 3)) // 2)
+    keys = nodes.select(F.explode(_variants(radius)).alias("key"), "fp")
+    met = stored(keys.repartition("key").sortWithinPartitions("key").mapInArrow(_meetings(distance, radius, crowd), "a long, b long"), "met")
+    crowded = stored(met.where("b IS NULL").select(F.col("a").alias("fp")).distinct(), "crowded")
     ball = _masks(BITS, distance // 2)
     variants = crowded.select("fp", F.explode(F.transform(ball, lambda m: F.col("fp").bitwiseXOR(m))).alias("variant"))
-    return near.distinct().union(_stars(variants, "variant"))
+    return met.where("b IS NOT NULL").distinct().union(_stars(variants, "variant"))
 
 
 def groups(prints: DataFrame, distance: int = 4, crowd: int = 1024) -> DataFrame:
-    """(doc_id, fp) -> (doc_id, fp, component_id): the smallest id reachable over links of at most ``distance`` bits.
+    """(doc_id, fp) -> (doc_id, fp, root, component_id): the smallest id reachable over links of at most ``distance`` bits.
 
-    ``distance`` must be a multiple of 4. Null ids get a component like any row, but are not the smallest id; a
-    component of null ids only has component null. Repeated rows stay repeated; an empty table gives an empty table.
+    ``root`` names the component itself, as rows of different components may share an id. ``distance`` must be even. Null
+    ids get a component like any row, but are not the smallest id; a component of null ids only has component null.
+    Repeated rows stay repeated; an empty table gives an empty table.
     """
-    if distance % 4:
-        raise ValueError("distance must be a multiple of 4")
+    if distance % 2:
+        raise ValueError("distance must be even")
     prints = stored(prints, "prints")
     nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    placed = stored(nodes.join(components_of(nodes.select("fp"), distance, crowd), "fp"), "placed")
-    smallest = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = stored(placed.join(smallest, "root").select("fp", "component_id"), "classes")
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    placed = stored(components_of(nodes, distance, crowd), "placed")
+    joined = placed.where("linked")  # only these need to hear of others; a large component is spread over SALTS tasks
+    smallest = joined.groupBy("root").agg(F.min("first").alias("least"))
+    spread = smallest.select("root", "least", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    heard = joined.withColumn("salt", F.pmod(F.hash("fp"), F.lit(SALTS))).join(spread, ["root", "salt"]).select("fp", "root", F.col("least").alias("component_id"))
+    classes = stored(heard.union(placed.where("NOT linked").select("fp", "root", "first")), "classes")
+    return prints.join(classes, "fp").select("doc_id", "fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, crowd: int = 1024, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id of every row. Null texts and texts without words have fingerprint 0."""
+    """doc_id, fingerprint (16 hex digits), component_id of every row. Null texts and texts without words have
+    fingerprint 0; very long texts are taken whole; other columns take no part."""
     found = groups(fingerprints(docs, width, doc_id, text), distance, crowd)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def first_of_each(docs: DataFrame, width: int = 4, distance: int = 4, crowd: int = 1024, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of ``docs`` per component, all its columns: that with the smallest id; rows without id only where no id is."""
+    """One row of ``docs`` per component, all its columns: that with the smallest id, rows without id only where no id is.
+
+    Rows that share an id may be in different components, each of which keeps one. Of rows of one component that share the
+    smallest id the one with the smallest fingerprint, text and content stays. Null and wordless texts are one component;
+    very long texts are taken whole.
+    """
     found = stored(groups(fingerprints(docs, width, doc_id, text), distance, crowd), "found")
-    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("keep_id")).distinct()
+    keep = stored(found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "fp")).alias("k")).select("k.doc_id", "k.fp"), "keep")
+    several = stored(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").select("doc_id"), "several")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    rows = docs.select(row, F.col(doc_id).cast("long").alias("keep_id"))
-    kept = rows.join(keep, "keep_id", "left_semi").dropDuplicates(["keep_id"]).select("row.*")
-    nameless = docs.where(F.col(doc_id).isNull())
-    if found.where("component_id IS NULL").isEmpty():
-        return kept
-    prints = fingerprints(nameless.select(F.monotonically_increasing_id().alias("n"), F.col(text).alias("text")), width, "n", "text")
-    classes = found.where("component_id IS NULL").select("fp").distinct()
-    roots = components_of(classes, distance, crowd)
-    one = prints.join(roots, "fp").groupBy("root").agg(F.min("doc_id").alias("n")).select("n")
-    return kept.union(nameless.select(row, F.monotonically_increasing_id().alias("n")).join(one, "n", "left_semi").select("row.*"))
+    rows = docs.select(row, F.col(doc_id).cast("long").alias("keep_id"), F.col(text).alias("keep_text"))
+    single = keep.join(several, keep["doc_id"].eqNullSafe(several["doc_id"]), "left_anti").select(F.col("doc_id").alias("keep_id"))
+    kept = rows.join(single, "keep_id", "left_semi").select("row.*")
+    repeated = rows.join(several, rows["keep_id"].eqNullSafe(several["doc_id"]), "left_semi")
+    repeated = stored(repeated.withColumn("n", F.monotonically_increasing_id()), "repeated")
+    marked = repeated.join(fingerprints(repeated.select("n", "keep_text"), width, "n", "keep_text").withColumnRenamed("doc_id", "n"), "n")
+    wanted = keep.select(F.col("doc_id").alias("wanted_id"), F.col("fp").alias("wanted_fp"))
+    chosen = marked.join(wanted, marked["keep_id"].eqNullSafe(wanted["wanted_id"]) & (F.col("fp") == F.col("wanted_fp")))
+    one = chosen.groupBy("keep_id", "fp").agg(F.min_by("row", F.struct("keep_text", F.to_json("row"))).alias("row"))
+    return kept.union(one.select("row.*"))
 
 
 def components_of(nodes: DataFrame, distance: int, crowd: int) -> DataFrame:
-    """Different fingerprints (column fp) -> (fp, root)."""
-    roots = stored(components(links(nodes, distance, crowd)).withColumnRenamed("node", "fp"), "roots")
-    return nodes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    """Different fingerprints (column fp and others) -> these columns, root, and whether it is linked to another one."""
+    roots = stored(components(links(nodes, distance, crowd)).select(F.col("node").alias("fp"), "root"), "roots")
+    return nodes.join(roots, "fp", "left").select(*nodes.columns, F.coalesce("root", "fp").alias("root"), F.col("root").isNotNull().alias("linked"))

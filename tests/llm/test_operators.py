@@ -345,6 +345,34 @@ def test_simhash_odd_rows(odd, none):
     assert simhash.near_duplicates(none).count() == 0 and simhash.first_of_each(none).columns == none.columns
 
 
+def test_simhash_rows_that_share_an_id(spark):
+    """Unrelated texts under one id are components of their own, and each keeps a row."""
+    other = "completely different words stand in this second text which shares only its number with the first one above"
+    rows = [(1, PROSE, "x"), (1, other, "x"), (2, "a third text with words that neither of the others has at all today", "y"), (3, other, "z"), (None, PROSE + " again and more", "n"), (1, PROSE, "w")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n string")
+    kept = simhash.first_of_each(df).collect()
+    near = {r["fingerprint"] for r in simhash.near_duplicates(df).where("doc_id IS NULL").collect()}
+    assert len(near) == 1
+    assert sorted((r["doc_id"], r["text"], r["n"]) for r in kept if r["doc_id"]) == sorted([(1, PROSE, "w"), (1, other, "x"), (2, rows[2][1], "y")])
+    assert len(kept) in (3, 4) and df.columns == simhash.first_of_each(df).columns
+
+
+@pytest.mark.parametrize("distance", [2, 4, 6])
+def test_simhash_links_are_all_near_pairs(spark, distance):
+    """Every pair within the distance is linked at any crowd: pairs that differ in all ways of spreading the bits."""
+    rng = np.random.default_rng(distance)
+    centres = [int(x) for x in rng.integers(0, 2**63, 12, dtype=np.uint64)]
+    prints = set(centres)
+    for c in centres:
+        for flips in range(1, distance + 2):
+            for _ in range(12):
+                prints.add(c ^ sum(1 << int(b) for b in rng.choice(64, flips, replace=False)))
+    signed = [(p - (1 << 64) if p >> 63 else p,) for p in prints]
+    expected = {(max(a, b), min(a, b)) for a in prints for b in prints if a != b and (a ^ b).bit_count() <= distance}
+    found = simhash.links(spark.createDataFrame(signed, "fp long"), distance).collect()
+    assert {(max(x, y), min(x, y)) for x, y in ((r["a"] % 2**64, r["b"] % 2**64) for r in found)} == expected
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(300)] + [(900, 901), (901, 900)], "a long, b long")
     got = {r["node"]: r["root"] for r in components.components(edges).collect()}

@@ -32,5 +32,5 @@ def test_stages(spark, sf_dir):
 
 
 def test_registered(spark, sf_dir):
-    assert {f"op{k}" for k in range(1, 11)} == {n.split("_")[0] for n in __spark_entry__.queries() if n.startswith("op") and n[2].isdigit()}
+    assert {f"op{k}" for k in range(1, 14)} == {n.split("_")[0] for n in __spark_entry__.queries() if n.startswith("op") and n[2].isdigit()}
     assert "pipeline" in __spark_entry__.queries()
