@@ -50,6 +50,13 @@ def grams(codes: np.ndarray, size: int = GRAM) -> np.ndarray:
     return out
 
 
+def features(text: str) -> np.ndarray:
+    """The n-grams of a text, and its words of one letter, which a text too short for an n-gram still has."""
+    codes = points(text)
+    alone = np.flatnonzero((codes[:-2] == 32) & (codes[2:] == 32) & (codes[1:-1] != 32)) if len(codes) > 2 else np.zeros(0, np.int64)
+    return np.concatenate([grams(codes), grams(codes, 3)[alone]])
+
+
 def slots(hashes: np.ndarray, bits: int = SLOT_BITS) -> list[np.ndarray]:
     """The probes of each n-gram: high bits of its hash times odd constants."""
     return [((hashes * np.uint64(_MIX[k % 3] + 2 * k)) >> np.uint64(64 - bits)).astype(np.int64) for k in range(PROBES)]
@@ -57,11 +64,13 @@ def slots(hashes: np.ndarray, bits: int = SLOT_BITS) -> list[np.ndarray]:
 
 @dataclass(frozen=True)
 class Filter:
-    """The table (a row of slots per 64 languages), its languages in the order of their bits, and each language's chance to hold a foreign n-gram."""
+    """The table (a row of slots per 64 languages), its languages in the order of their bits, and each language's chance to hold a foreign
+    n-gram, and the language with most texts."""
 
     languages: tuple[str, ...]
     table: np.ndarray
     chance: np.ndarray
+    prior: int = 0
 
     def masks(self, hashes: np.ndarray, word: int = 0) -> np.ndarray:
         """The masks of the ``word``-th 64 languages."""
@@ -71,7 +80,7 @@ class Filter:
         return out
 
 
-def build(known: list[tuple[str, np.ndarray]]) -> Filter:
+def build(known: list[tuple[str, np.ndarray]], prior: str | None = None) -> Filter:
     """Filter from the n-gram hashes of each language."""
     languages = tuple(name for name, _ in known)
     table = np.zeros((-(-len(languages) // 64), 1 << SLOT_BITS), np.uint64)
@@ -79,50 +88,54 @@ def build(known: list[tuple[str, np.ndarray]]) -> Filter:
         for s in slots(hashes):
             np.bitwise_or.at(table[bit // 64], s, np.uint64(1 << bit % 64))
     filled = np.array([np.count_nonzero(table[b // 64] >> np.uint64(b % 64) & np.uint64(1)) for b in range(len(languages))]) / (1 << SLOT_BITS)
-    return Filter(languages, table, filled**PROBES)
+    return Filter(languages, table, filled**PROBES, languages.index(prior) if prior in languages else 0)
 
 
 def learn(texts: DataFrame, train_texts: int = TRAIN_TEXTS, kept: int = KEPT) -> Filter:
     """Filter from (text, lang) rows: n-gram rates are counted in Spark, and the driver gets ``kept`` n-grams a language.
 
-    Languages come from the rows; about ``train_texts`` texts of each are read, chosen by a hash of the text.
+    Languages come from the rows; about ``train_texts`` texts of each are read, chosen by a hash of the text before anything
+    is shuffled: the shares are one number per language. N-grams of one text only count where a language has no others.
     """
     rows = texts.where("lang IS NOT NULL AND text IS NOT NULL")
-    share = rows.groupBy("lang").agg(F.count("*").alias("n")).select("lang", (F.lit(1_000_000.0) * train_texts / F.col("n")).alias("part"))
-    some = rows.join(share, "lang").where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.col("part")).select("lang", "text")
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not sizes:
+        return build([])
+    shares = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(1_000_000, -(-1_000_000 * train_texts // n)))])
+    some = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < shares[F.col("lang")]).select("lang", "text")
 
     def count(batches):
         for batch in batches:
             for lang, text in zip(*(c.to_pylist() for c in batch.columns)):
-                found, n = np.unique(grams(points(text)), return_counts=True)
+                found, n = np.unique(features(text), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
     counts = stored(some.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.count("*").alias("texts")), "grams")
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    rates = counts.where("texts > 1").join(totals, "lang").select("lang", "gram", (F.col("n") / F.col("total")).alias("rate"))
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"), F.max("texts").alias("most"))
+    rates = counts.join(totals, "lang").where("texts > 1 OR most = 1").select("lang", "gram", (F.col("n") / F.col("total")).alias("rate"))
     best = rates.groupBy("gram").agg(F.max("rate").alias("best"))
     telling = rates.join(best, "gram").where(F.col("rate") >= RATE * F.col("best"))
     top = telling.select("*", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("rate"), "gram")).alias("k")).where(F.col("k") <= kept)
     found: dict[str, list[int]] = {}
     for row in top.select("lang", "gram").toLocalIterator():
         found.setdefault(row["lang"], []).append(row["gram"])
-    return build([(name, np.array(found[name], np.int64).view(np.uint64)) for name in sorted(found)])
+    return build([(name, np.array(found[name], np.int64).view(np.uint64)) for name in sorted(found)], max(sorted(found), key=sizes.get) if found else None)
 
 
 def decide(texts: list[str | None], model: Filter) -> tuple[list[str], list[float]]:
     """Language and score (its share of the corrected counts) of each whole text."""
     names, scores = [], []
     for text in texts:
-        hashes = grams(points(text)) if text and any(map(str.isalpha, text)) else np.zeros(0, np.uint64)
-        if not len(hashes) or not model.languages:
+        if not model.languages or not text or not any(map(str.isalpha, text)):
             names.append(UNKNOWN)
             scores.append(0.0)
             continue
+        hashes = features(text)
         masks = [model.masks(hashes, word) for word in range(len(model.table))]
         hits = np.array([np.count_nonzero(masks[b // 64] & np.uint64(1 << b % 64)) for b in range(len(model.languages))], float)
         n = len(hashes)
         real = np.maximum(hits - n * model.chance, 0) / (1 - model.chance)  # a language has chance * n n-grams that are not its own
-        best = int(np.argmax(real))
+        best = int(np.argmax(real)) if real.any() else model.prior
         names.append(model.languages[best])
         scores.append(float(real[best] / real.sum()) if real.sum() else 1 / len(model.languages))
     return names, scores
@@ -147,8 +160,9 @@ def identify(docs: DataFrame, model: Filter, doc_id: str = "doc_id", text: str =
 def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """Learns from the rows with a language outside the held-out fold (crc32 of the id as text, modulo 4, is 2) and labels all.
 
-    Null texts and texts without a letter are ``und`` with score 0; without any language to learn all are. Equal texts
-    get equal answers; other columns play no part.
+    Null texts and texts without a letter are ``und`` with score 0; without any language to learn all are. Texts that have
+    nothing in common with any language get the one with most texts; of languages with equal counts the first in name
+    order wins. Equal texts get equal answers; very long texts count whole; other columns play no part.
     """
     rows = docs.where(fold_of(F.col(doc_id), FOLDS) != HELD_FOLD).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
     return identify(docs, learn(rows), doc_id, text)
