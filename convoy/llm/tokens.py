@@ -226,9 +226,11 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
     shards.write.parquet(f"{folder}/shards")
     shards = docs.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/shards")
     # Ranges do not overlap but for rows that tie on the id, and those are in one shard.
-    before = Window.orderBy("first_doc", "shard").rowsBetween(Window.unboundedPreceding, -1)
+    # One window over one row per shard.
+    ascending = Window.orderBy("first_doc", "shard")
+    before = ascending.rowsBetween(Window.unboundedPreceding, -1)
     shards.select("*", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"),
-                  F.coalesce(F.sum("n_docs").over(before), F.lit(0)).alias("docs_before")).write.parquet(f"{folder}/manifest")
+                  F.coalesce(F.sum("n_docs").over(before), F.lit(0)).alias("docs_before"), (F.row_number().over(ascending) - 1).alias("place")).write.parquet(f"{folder}/manifest")
 
 
 def _array(store: fs.FileSystem, path: str, kind: str) -> np.ndarray:
@@ -257,8 +259,8 @@ def read_shards(spark: SparkSession, folder: str) -> DataFrame:
                     [pa.array(keys, mask=keys == NO_ID), pa.array(ends[:-1] + row["base"]), pa.array(np.diff(ends)), pa.array(crc)],
                     names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    shards = manifest.select("shard", "width", "base")
-    return shards.repartition(F.col("shard")).mapInArrow(read, READ)
+    shards = manifest.select("shard", "width", "base", "place")
+    return shards.repartitionById(max(1, manifest.count()), F.col("place")).mapInArrow(read, READ)  # a task per shard
 
 
 def token_table(docs: DataFrame, tokenizer_path: str, folder: str | None = None, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
