@@ -6,6 +6,7 @@ penalty keeps few of them. The rules and their weights become one Spark column e
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 
@@ -111,7 +112,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", trees: in
     vectors = VectorAssembler(inputCols=names, outputCol="f").transform(table)
     rules = sorted({r for tree in forest.fit(vectors).trees for r in paths(tree.toDebugString, names)}, key=lambda r: r.terms)
     if not rules:
-        return Model(0.0, ())
+        return Model(math.log(share / (1 - share)), ())  # no statistic tells the labels apart
     columns = {name: F.col(name) for name in names}
     held = table.select("label", F.array(*[r.column(columns).cast("double") for r in rules]).alias("held"))
     sparse = held.select("label", array_to_vector("held").alias("f"))
@@ -152,6 +153,6 @@ def classify(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, doc_id:
     """Fits on the labels outside the held-out fold (ids whose crc32 as text, modulo 3, is 1) and scores every row.
 
     No label, an empty table of labels, or labels of one kind give a constant score. Rows whose id is null are not
-    learned from, and are not held out; repeated rows score alike; other columns play no part.
+    learned from, and are not held out; repeated rows score alike; very long texts are scored whole; other columns play no part.
     """
     return scored(docs, fit(training_rows(docs, labels, rows, doc_id, text, quality)), doc_id, text)

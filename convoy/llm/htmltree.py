@@ -12,6 +12,8 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|itemprop|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Elements that stand in a line of text like a letter, whether or not they have content of their own.
+FLOWING = INLINE | frozenset("img picture audio video canvas object map area input button select textarea meter progress".split())
 #: Elements that a new one of these closes when they are open: tag -> (closed tags, tags that stop the search).
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
@@ -51,15 +53,15 @@ def parse(page: str) -> list[Node]:
                 if nodes[stack[k]].tag == tag:
                     del stack[k:]
                     break
-            breaks |= tag not in INLINE
+            breaks |= tag not in FLOWING
             continue
-        if tag not in INLINE:
+        if tag not in FLOWING:
             breaks = True
             for k in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph, with the inline elements left open in it
                 if nodes[stack[k]].tag == "p":
                     del stack[k:]
                     break
-                if nodes[stack[k]].tag not in INLINE:
+                if nodes[stack[k]].tag not in FLOWING:
                     break
         if tag in CLOSES:
             closed, stops = CLOSES[tag]

@@ -180,6 +180,19 @@ def test_language_odd_rows(odd, none):
     assert language.classify(none).count() == 0
 
 
+def test_language_short_texts_and_rare_languages(spark):
+    """A letter is enough for a learned language, and one training text for a language."""
+    words = {"xx": "alpha beta gamma delta i epsilon", "yy": "omega sigma lambda kappa o theta"}
+    rows = [(k, f"{words[lang]} {k % 5}", lang) for k in range(0, 400, 3) for lang in ("xx", "yy")] + [(9001, "zorbu fnarg pliwok u quemdash", "zz")]
+    fold = lambda k: zlib.crc32(str(k).encode()) % 4 == 2
+    rows = [(9100 + next(j for j in range(99) if not fold(9100 + j)), *r[1:]) if r[0] == 9001 else r for r in rows]
+    asked = {"i": "xx", "O": "yy", "u": "zz", "中": "xx", "7 x 7": "xx", "a": "xx", "fnarg pliwok": "zz"}
+    held = [(20_000 + k, t, None) for k, t in enumerate(asked)]
+    df = spark.createDataFrame(rows + held, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in language.classify(df).collect()}
+    assert {t: got[20_000 + k] for k, t in enumerate(asked)} == asked
+
+
 def test_filter_has_all_languages_of_a_gram():
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 1 << 63, 5000, dtype=np.uint64), rng.integers(0, 1 << 63, 5000, dtype=np.uint64)
@@ -457,3 +470,23 @@ def test_passages_around_frequent_words(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = passages.repeated_passages(docs.repartition(4)).collect()
     assert {(r["doc_id"], r["of_doc"]) for r in got} == {(2 * k + 1, 2 * k) for k in range(pairs)}
+
+
+def test_words_around_elements_without_content():
+    page = "<body><article><p>wo<img src=x>rd and fl<input type=hidden>ow <video src=v></video>on</p><p>next</p></article></body>"
+    nodes = htmltree.parse(page)
+    assert htmltree.joined(nodes, [True] * len(nodes)) == "word and flow on next"
+
+
+def test_shards_are_read_by_many_tasks(spark, documents, tmp_path):
+    folder = f"file://{tmp_path}/t"
+    tokens.write_shards(documents, folder, queries.tokenizer_path())
+    shards = spark.read.parquet(f"{folder}/manifest").count()
+    assert tokens.read_shards(spark, folder).rdd.getNumPartitions() == shards
+
+
+def test_classifier_without_a_telling_statistic(spark):
+    rows = [("the same text", k % 4 == 0) for k in range(40)]
+    model = classifier.fit(spark.createDataFrame(rows, "text string, label boolean").selectExpr("text", "int(label) AS label"))
+    scores = classifier.scored(spark.createDataFrame([(1, "any text")], "doc_id long, text string"), model).collect()
+    assert scores[0]["score"] == pytest.approx(0.25, abs=1e-6)
