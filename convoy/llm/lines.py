@@ -42,81 +42,106 @@ def _identified(lines: DataFrame) -> DataFrame:
     return hashed.select("*", F.xxhash64("words").alias("h"), F.xxhash64(F.lit(1), "words").alias("h2"), F.size("words").alias("n"))
 
 
-def _shared(entries: DataFrame) -> DataFrame:
-    """The entries (column key) whose key more than one entry has."""
-    entries = stored(entries, "entries")
-    met = stored(entries.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"), "met")
-    return entries.join(met, "key", "left_semi")
+def _met(entries: DataFrame) -> DataFrame:
+    """The keys that entries (key, h) of more than one line have. Only the two numbers are shuffled, combined per task."""
+    seen = entries.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"))
+    return stored(seen.where("low <> high").select("key"), "met")
 
 
-def _halves() -> Column:
-    """(frame, at, run, key) of the runs that are tried first: both halves, in the line's own frame and in that of one word less."""
+def _halves() -> list[tuple[Column, Column, Column]]:
+    """(frame, at, run) of the runs that are tried first: both halves, in the line's own frame and in that of one word less."""
     out = []
     for frame in (F.col("n"), F.col("n") - 1):
         half = F.ceil(frame / 2).cast("int")
-        for at, run in ((F.lit(0), half), (half, frame - half)):
-            out.append(F.struct(frame.alias("frame"), at.cast("int").alias("at"), run.cast("int").alias("run"), _key(F.col("words"), frame, at, run).alias("key")))
-    return F.filter(F.array(*out), lambda e: e["frame"] >= LEAST_WORDS)
+        out += [(frame, F.lit(0), half), (frame, half, (frame - half).cast("int"))]
+    return out
+
+
+def _first_keys() -> Column:
+    """The keys of these runs, null in a frame that is too short."""
+    return F.array(*[F.when(frame >= LEAST_WORDS, _key(F.col("words"), frame, at, run)) for frame, at, run in _halves()])
+
+
+def _try(number: Column) -> Column:
+    """The run with this number."""
+    out = F.lit(None)
+    for k, (frame, at, run) in enumerate(_halves()):
+        out = F.when(number == k, F.struct(frame.cast("int").alias("frame"), at.cast("int").alias("at"), run.cast("int").alias("run"))).otherwise(out)
+    return out
 
 
 def near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """All lines (doc_id, line_no, h, h2), and the different lines (h, h2, first, of: the earliest one within one edit).
+    """All lines (doc_id, line_no, h, h2), and the different lines (h, h2, first, copies, of: the earliest one within one edit).
 
-    ``first`` is the earliest (doc_id, line_no) with the line; ``of`` is null if no earlier line is near.
+    ``first`` is the earliest (doc_id, line_no) with the line, ``copies`` how often it stands; ``of`` is null if no earlier
+    line is near. Until a line shares a key with another one, only numbers of it are shuffled; then its words are fetched
+    once, from the place where it stands first.
     """
     lines = _identified(line_table(docs, doc_id, text))
-    table = stored(lines.select("doc_id", "line_no", "h", "h2", F.when(F.col("n") >= LEAST_WORDS, _halves()).alias("tries")), "lines")
-    # the tries are the same wherever the line stands
-    different = stored(table.groupBy("h", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.first("tries").alias("tries")), "different")
-    tries = different.select("h", "h2", "first", F.explode("tries").alias("e")).select("h", "h2", "first", "e.*")
-    some = stored(_shared(tries).groupBy("h", "h2").agg(F.min("first").alias("first"), F.collect_list(F.struct("frame", "at", "run")).alias("es")), "some")  # four at most
-    places = line_table(docs, doc_id, text).select("line", F.struct("doc_id", "line_no").alias("place"))
-    # stored before the filter, which Spark would otherwise make part of the join and evaluate for every line
-    texts = stored(some.withColumnRenamed("h", "kh").withColumnRenamed("h2", "kh2").join(places, F.col("first").eqNullSafe(F.col("place"))), "texts")
-    found = _identified(texts)
-    entries = found.where((F.col("h") == F.col("kh")) & (F.col("h2") == F.col("kh2"))).dropDuplicates(["h", "h2"])
-    entries = entries.select("h", "h2", "first", "words", F.explode("es").alias("e")).select("h", "h2", "first", "words", "e.*")
-    entries = stored(entries, "entries")
+    table = stored(lines.select("doc_id", "line_no", "h", "h2", F.when(F.col("n") >= LEAST_WORDS, _first_keys()).alias("tries")), "lines")
+    different = stored(table.groupBy("h", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("copies")), "different")
+    tries = table.select("h", F.posexplode("tries").alias("number", "key")).where("key IS NOT NULL")
+    some = tries.join(_met(tries), "key", "left_semi").groupBy("h").agg(F.collect_set("number").alias("numbers"))  # four at most
+    wanted = stored(different.select("h", "h2", "first").join(stored(some, "some"), "h"), "wanted")
+    place = wanted.select(F.col("first.doc_id").alias("d"), F.col("first.line_no").alias("l"))
+    here = line_table(docs, doc_id, text)
+    # stored before the words are cut, which Spark would otherwise make part of the join and evaluate for every line
+    texts = stored(here.join(place, here["doc_id"].eqNullSafe(place["d"]) & (here["line_no"] == place["l"]), "left_semi").select("line"), "texts")
+    found = stored(_identified(texts).select("h", "h2", "n", "words").dropDuplicates(["h", "h2"]).join(wanted, ["h", "h2"]), "found")
+    known = found.select("h", "h2", "first", "words")
+    entries = stored(found.select("h", "h2", "first", "words", F.transform("numbers", _try).alias("es")).select("h", "h2", "first", "words", F.explode("es").alias("e")).select("h", "h2", "first", "words", "e.*"), "entries")
     while not entries.where("run > 1").isEmpty():
         part = F.ceil(F.col("run") / SPLIT).cast("int")
         parts = F.transform(F.sequence(F.lit(0), F.col("run") - 1, F.greatest(part, F.lit(1))), lambda k: F.struct(
             (F.col("at") + k).cast("int").alias("at"), F.least(part, F.col("run") - k).cast("int").alias("run")))
-        finer = entries.where("run > 0").select("h", "h2", "first", "words", "frame", F.explode(parts).alias("p")).select("h", "h2", "first", "words", "frame", "p.*")
-        entries = stored(_shared(finer.select("*", _key(F.col("words"), F.col("frame"), F.col("at"), F.col("run")).alias("key"))).drop("key"), "entries")
+        finer = entries.where("run > 0").select("h", "h2", "words", "frame", F.explode(parts).alias("p")).select("h", "h2", "words", "frame", "p.*")
+        finer = stored(finer.select("h", "h2", "frame", "at", "run", _key(F.col("words"), F.col("frame"), F.col("at"), F.col("run")).alias("key")), "finer")
+        left = finer.join(_met(finer), "key", "left_semi").drop("key")
+        entries = stored(left.join(known, ["h", "h2"]).select("h", "h2", "first", "words", "frame", "at", "run"), "entries")
     # one word replaced at a place, or one word more in the gap before or behind it
     extra = F.size("words") - F.col("frame")
     gap = lambda at: F.struct(at.cast("int").alias("at"), F.lit(0).alias("run"))
     final = entries.select("*", extra.alias("extra")).select("h", "h2", "first", "words", "frame", F.explode(F.concat(
         F.when(F.col("extra") == 0, F.array(F.struct("at", F.lit(1).alias("run")))).otherwise(F.expr("cast(array() as array<struct<at: int, run: int>>)")),
-        F.array(gap(F.col("at")), gap(F.col("at") + 1)))).alias("p")).select("h", "h2", "first", "words", "frame", "p.*").distinct()
+        F.array(gap(F.col("at")), gap(F.col("at") + 1)))).alias("p")).select("h", "h2", "first", "words", "frame", "p.*")
     left, right = _rest(F.col("words"), F.col("frame"), F.col("at"), F.col("run"))
-    keyed = stored(final.select("*", F.xxhash64("frame", "at", "run", left, right).alias("key"), F.concat(left, right).alias("rest")).drop("words"), "final")
-    earliest = stored(keyed.groupBy("key").agg(F.min(F.struct("first", "rest")).alias("e"), F.count("*").alias("m")).where("m > 1").select("key", "e"), "earliest")
-    links = keyed.join(earliest, "key").where((F.col("first") != F.col("e.first")) & (F.col("rest") == F.col("e.rest")))  # what is left agrees word by word
+    # the key and a second hash of what is left: 128 bits that must agree
+    keyed = final.select("h", "h2", "first", F.xxhash64("frame", "at", "run", left, right).alias("key"), F.xxhash64(F.lit(2), right, left, "frame", "at").alias("rest"))
+    keyed = stored(keyed, "final")
+    earliest = stored(keyed.groupBy("key").agg(F.min(F.struct("first", "rest")).alias("e"), F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high").select("key", "e"), "earliest")
+    links = keyed.join(earliest, "key").where((F.col("first") != F.col("e.first")) & (F.col("rest") == F.col("e.rest")))
     best = links.groupBy("h", "h2").agg(F.min("e.first").alias("of"))
-    return table.select("doc_id", "line_no", "h", "h2"), different.select("h", "h2", "first").join(stored(best, "best"), ["h", "h2"], "left")
+    return table.select("doc_id", "line_no", "h", "h2"), different.join(stored(best, "best"), ["h", "h2"], "left")
 
 
 def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, line_no, repeat (the same words stand earlier), near_of (an earlier line one word edit away, or null) of every line."""
     lines, classes = near(docs, doc_id, text)
     found = lines.join(stored(classes, "classes"), ["h", "h2"])
-    return found.select("doc_id", "line_no", (~F.struct("doc_id", "line_no").eqNullSafe(F.col("first"))).alias("repeat"), F.col("of").alias("near_of"))
+    return found.select("doc_id", "line_no", _repeat().alias("repeat"), F.col("of").alias("near_of"))
+
+
+def _repeat() -> Column:
+    return ~F.struct("doc_id", "line_no").eqNullSafe(F.col("first"))
 
 
 def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: doc_id, n_lines (with a word), n_repeats, n_near, n_kept, removed (the numbers of the lines to remove, from 0).
 
     A line goes if the same words came earlier (in order of doc_id, null first, then line), or if an earlier line is
-    within one word edit and both have at least LEAST_WORDS words. Lines without a word are neither counted nor
-    removed; null and empty texts have none; rows that share an id count as one document; other columns play no part.
+    within one word edit and both have at least LEAST_WORDS words; shorter lines are compared exactly only. Lines without
+    a word are neither counted nor removed; null and empty texts have none; rows that share an id count as one document;
+    very long texts and lines are taken whole; other columns play no part.
     """
-    lines = removed(docs, doc_id, text)
-    gone = F.col("repeat") | F.col("near_of").isNotNull()
-    per = lines.groupBy("doc_id").agg(
-        F.count("*").alias("n_lines"), F.sum(F.col("repeat").cast("long")).alias("n_repeats"),
-        F.sum((~F.col("repeat") & F.col("near_of").isNotNull()).cast("long")).alias("n_near"), F.sum((~gone).cast("long")).alias("n_kept"),
-        F.sort_array(F.collect_set(F.when(gone, F.col("line_no")))).alias("removed"))
+    lines, classes = near(docs, doc_id, text)
+    going = stored(classes.where("copies > 1 OR of IS NOT NULL").select("h", "h2", "first", F.col("of").isNotNull().alias("near")), "going")
+    again = lines.join(going, ["h", "h2"]).where(_repeat() | F.col("near")).select("doc_id", "line_no", _repeat().alias("repeat"), F.lit(0).cast("long").alias("n"))
+    counted = lines.groupBy("doc_id").agg(F.count("*").alias("n")).select("doc_id", F.lit(None).cast("int").alias("line_no"), F.lit(False).alias("repeat"), "n")
+    gone = F.col("line_no").isNotNull()
+    per = again.union(counted).groupBy("doc_id").agg(
+        F.sum("n").alias("n_lines"), F.count_if(F.col("repeat")).alias("n_repeats"), F.count_if(gone & ~F.col("repeat")).alias("n_near"),
+        F.sort_array(F.collect_set("line_no")).alias("removed"))
+    per = per.withColumn("n_kept", F.col("n_lines") - F.col("n_repeats") - F.col("n_near"))
     ids = documents(docs, doc_id, text).select(F.col("doc_id").alias("id")).distinct()
     zero = F.lit(0).cast("long")
     return ids.join(per, F.col("id").eqNullSafe(F.col("doc_id")), "left").select(
