@@ -71,32 +71,33 @@ def _try(number: Column) -> Column:
 
 
 def near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """All lines (doc_id, line_no, h, h2), and the different lines (h, h2, first, copies, of: the earliest one within one edit).
+    """All lines (doc_id, line_no, h, h2), and those different lines that stand more than once or have an earlier one within
+    one edit: (h, h2, first, of).
 
-    ``first`` is the earliest (doc_id, line_no) with the line, ``copies`` how often it stands; ``of`` is null if no earlier
-    line is near. Until a line shares a key with another one, only numbers of it are shuffled; then its words are fetched
+    ``first`` is the earliest (doc_id, line_no) with the line; ``of`` is the earliest near line, null if there is none. Until a line shares a key with another one, only numbers of it are shuffled; then its words are fetched
     once, from the place where it stands first.
     """
     lines = _identified(line_table(docs, doc_id, text))
     table = stored(lines.select("doc_id", "line_no", "h", "h2", F.when(F.col("n") >= LEAST_WORDS, _first_keys()).alias("tries")), "lines")
     different = stored(table.groupBy("h", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("copies")), "different")
     tries = table.select("h", F.posexplode("tries").alias("number", "key")).where("key IS NOT NULL")
-    some = tries.join(_met(tries), "key", "left_semi").groupBy("h").agg(F.collect_set("number").alias("numbers"))  # four at most
+    # as many keys as lines: never a broadcast
+    some = tries.join(_met(tries).hint("merge"), "key", "left_semi").groupBy("h").agg(F.bit_or(F.expr("shiftleft(1, number)")).alias("numbers"))
     wanted = stored(different.select("h", "h2", "first").join(stored(some, "some"), "h"), "wanted")
-    place = wanted.select(F.col("first.doc_id").alias("d"), F.col("first.line_no").alias("l"))
+    place = stored(wanted.select(F.col("first.doc_id").alias("d"), F.col("first.line_no").alias("l")), "places")
     here = line_table(docs, doc_id, text)
     # stored before the words are cut, which Spark would otherwise make part of the join and evaluate for every line
     texts = stored(here.join(place, here["doc_id"].eqNullSafe(place["d"]) & (here["line_no"] == place["l"]), "left_semi").select("line"), "texts")
     found = stored(_identified(texts).select("h", "h2", "n", "words").dropDuplicates(["h", "h2"]).join(wanted, ["h", "h2"]), "found")
     known = found.select("h", "h2", "first", "words")
-    entries = stored(found.select("h", "h2", "first", "words", F.transform("numbers", _try).alias("es")).select("h", "h2", "first", "words", F.explode("es").alias("e")).select("h", "h2", "first", "words", "e.*"), "entries")
+    entries = stored(found.select("h", "h2", "first", "words", F.transform(F.filter(F.sequence(F.lit(0), F.lit(3)), lambda k: F.col("numbers").bitwiseAND(F.when(k == 0, 1).when(k == 1, 2).when(k == 2, 4).otherwise(8)) != 0), _try).alias("es")).select("h", "h2", "first", "words", F.explode("es").alias("e")).select("h", "h2", "first", "words", "e.*"), "entries")
     while not entries.where("run > 1").isEmpty():
         part = F.ceil(F.col("run") / SPLIT).cast("int")
         parts = F.transform(F.sequence(F.lit(0), F.col("run") - 1, F.greatest(part, F.lit(1))), lambda k: F.struct(
             (F.col("at") + k).cast("int").alias("at"), F.least(part, F.col("run") - k).cast("int").alias("run")))
         finer = entries.where("run > 0").select("h", "h2", "words", "frame", F.explode(parts).alias("p")).select("h", "h2", "words", "frame", "p.*")
         finer = stored(finer.select("h", "h2", "frame", "at", "run", _key(F.col("words"), F.col("frame"), F.col("at"), F.col("run")).alias("key")), "finer")
-        left = finer.join(_met(finer), "key", "left_semi").drop("key")
+        left = stored(finer.join(_met(finer), "key", "left_semi").drop("key"), "left")
         entries = stored(left.join(known, ["h", "h2"]).select("h", "h2", "first", "words", "frame", "at", "run"), "entries")
     # one word replaced at a place, or one word more in the gap before or behind it
     extra = F.size("words") - F.col("frame")
@@ -110,15 +111,17 @@ def near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[D
     keyed = stored(keyed, "final")
     earliest = stored(keyed.groupBy("key").agg(F.min(F.struct("first", "rest")).alias("e"), F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high").select("key", "e"), "earliest")
     links = keyed.join(earliest, "key").where((F.col("first") != F.col("e.first")) & (F.col("rest") == F.col("e.rest")))
-    best = links.groupBy("h", "h2").agg(F.min("e.first").alias("of"))
-    return table.select("doc_id", "line_no", "h", "h2"), different.join(stored(best, "best"), ["h", "h2"], "left")
+    best = links.select("h", "h2", "first", F.col("e.first").alias("of"))
+    repeated = different.where("copies > 1").select("h", "h2", "first", F.lit(None).cast(best.schema["of"].dataType).alias("of"))
+    going = best.union(repeated).groupBy("h", "h2").agg(F.min("first").alias("first"), F.min("of").alias("of"))
+    return table.select("doc_id", "line_no", "h", "h2"), stored(going, "going")
 
 
 def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, line_no, repeat (the same words stand earlier), near_of (an earlier line one word edit away, or null) of every line."""
-    lines, classes = near(docs, doc_id, text)
-    found = lines.join(stored(classes, "classes"), ["h", "h2"])
-    return found.select("doc_id", "line_no", _repeat().alias("repeat"), F.col("of").alias("near_of"))
+    lines, going = near(docs, doc_id, text)
+    found = lines.join(going, ["h", "h2"], "left")
+    return found.select("doc_id", "line_no", (F.col("first").isNotNull() & _repeat()).alias("repeat"), F.col("of").alias("near_of"))
 
 
 def _repeat() -> Column:
@@ -133,9 +136,8 @@ def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     a word are neither counted nor removed; null and empty texts have none; rows that share an id count as one document;
     very long texts and lines are taken whole; other columns play no part.
     """
-    lines, classes = near(docs, doc_id, text)
-    going = stored(classes.where("copies > 1 OR of IS NOT NULL").select("h", "h2", "first", F.col("of").isNotNull().alias("near")), "going")
-    again = lines.join(going, ["h", "h2"]).where(_repeat() | F.col("near")).select("doc_id", "line_no", _repeat().alias("repeat"), F.lit(0).cast("long").alias("n"))
+    lines, going = near(docs, doc_id, text)
+    again = lines.join(going.hint("merge"), ["h", "h2"]).where(_repeat() | F.col("of").isNotNull()).select("doc_id", "line_no", _repeat().alias("repeat"), F.lit(0).cast("long").alias("n"))
     counted = lines.groupBy("doc_id").agg(F.count("*").alias("n")).select("doc_id", F.lit(None).cast("int").alias("line_no"), F.lit(False).alias("repeat"), "n")
     gone = F.col("line_no").isNotNull()
     per = again.union(counted).groupBy("doc_id").agg(
