@@ -18,6 +18,8 @@ from convoy.llm.common import WORD, documents, stored, words
 #: Lines of fewer words are compared exactly only: one word is too much of them.
 LEAST_WORDS = 5
 SPLIT = 4
+#: Rows of at most about 40 bytes that are broadcast at most; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def _rest(found: Column, frame: Column, at: Column, run: Column) -> list[Column]:
@@ -42,6 +44,11 @@ def _identified(lines: DataFrame) -> DataFrame:
     return hashed.select("*", F.xxhash64("words").alias("h"), F.xxhash64(F.lit(1), "words").alias("h2"), F.size("words").alias("n"))
 
 
+def _checked(narrow: DataFrame) -> DataFrame:
+    """A stored table of few short columns: broadcast if it was counted and found small, else left to a shuffle."""
+    return F.broadcast(narrow) if narrow.count() <= BROADCAST_ROWS else narrow
+
+
 def _met(entries: DataFrame) -> DataFrame:
     """The keys that entries (key, h) of more than one line have. Only the two numbers are shuffled, combined per task."""
     seen = entries.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"))
@@ -83,12 +90,12 @@ def near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[D
     tries = table.select("h", F.posexplode("tries").alias("number", "key")).where("key IS NOT NULL")
     # as many keys as lines: never a broadcast
     some = tries.join(_met(tries).hint("merge"), "key", "left_semi").groupBy("h").agg(F.bit_or(F.expr("shiftleft(1, number)")).alias("numbers"))
-    wanted = stored(different.select("h", "h2", "first").join(stored(some, "some"), "h"), "wanted")
+    wanted = stored(different.select("h", "h2", "first").join(_checked(stored(some, "some")), "h"), "wanted")
     place = stored(wanted.select(F.col("first.doc_id").alias("d"), F.col("first.line_no").alias("l")), "places")
-    here = line_table(docs, doc_id, text)
+    here, place = line_table(docs, doc_id, text), _checked(place)
     # stored before the words are cut, which Spark would otherwise make part of the join and evaluate for every line
     texts = stored(here.join(place, here["doc_id"].eqNullSafe(place["d"]) & (here["line_no"] == place["l"]), "left_semi").select("line"), "texts")
-    found = stored(_identified(texts).select("h", "h2", "n", "words").dropDuplicates(["h", "h2"]).join(wanted, ["h", "h2"]), "found")
+    found = stored(_identified(texts).select("h", "h2", "n", "words").join(_checked(wanted), ["h", "h2"]), "found")
     known = found.select("h", "h2", "first", "words")
     entries = stored(found.select("h", "h2", "first", "words", F.transform(F.filter(F.sequence(F.lit(0), F.lit(3)), lambda k: F.col("numbers").bitwiseAND(F.when(k == 0, 1).when(k == 1, 2).when(k == 2, 4).otherwise(8)) != 0), _try).alias("es")).select("h", "h2", "first", "words", F.explode("es").alias("e")).select("h", "h2", "first", "words", "e.*"), "entries")
     while not entries.where("run > 1").isEmpty():
@@ -97,8 +104,8 @@ def near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[D
             (F.col("at") + k).cast("int").alias("at"), F.least(part, F.col("run") - k).cast("int").alias("run")))
         finer = entries.where("run > 0").select("h", "h2", "words", "frame", F.explode(parts).alias("p")).select("h", "h2", "words", "frame", "p.*")
         finer = stored(finer.select("h", "h2", "frame", "at", "run", _key(F.col("words"), F.col("frame"), F.col("at"), F.col("run")).alias("key")), "finer")
-        left = stored(finer.join(_met(finer), "key", "left_semi").drop("key"), "left")
-        entries = stored(left.join(known, ["h", "h2"]).select("h", "h2", "first", "words", "frame", "at", "run"), "entries")
+        left = stored(finer.join(_met(finer), "key", "left_semi").drop("key").distinct(), "left")
+        entries = stored(known.join(_checked(left), ["h", "h2"]).select("h", "h2", "first", "words", "frame", "at", "run"), "entries")
     # one word replaced at a place, or one word more in the gap before or behind it
     extra = F.size("words") - F.col("frame")
     gap = lambda at: F.struct(at.cast("int").alias("at"), F.lit(0).alias("run"))
