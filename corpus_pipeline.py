@@ -44,7 +44,7 @@ STAGES = [
     ("token-ID / binary output", token_files),
 ]
 
-#: The classifier and the tokenizer have no SQL form; the tests compare with plain versions of the stages.
+#: The classifier and the tokenizer have no SQL form; the tests hold the run against its operators applied one by one.
 ORACLE_SQL = None
 
 
