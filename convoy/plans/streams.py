@@ -178,7 +178,7 @@ def _vehicles_by_body(spark, sf_dir):
 
 
 def _live(spark, sf_dir, work):
-    """All events as JSON text, every seventh twice, through routing and the live layer in PARTS micro-batches; the paths and
+    """All events as JSON text, every seventh twice, through routing in PARTS micro-batches and the live layer; the paths and
     the counters."""
     raw = pq.raw_messages(spark, sf_dir).withColumn("_copy", F.explode(F.when(F.col("seq") % 7 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
     raw = raw.select("topic", "value", F.col("seq").alias("arrival"))
@@ -189,7 +189,7 @@ def _live(spark, sf_dir, work):
     try:
         messages = readers.message_stream(spark, f"{work}/raw", "topic string, value string, arrival long", maxFilesPerTrigger=str(_FILES))
         listener.wait(pipeline.start_routing(messages, paths, pq.SHARDS, once=True))
-        accepted = pipeline.accepted_stream(spark, paths, files=_FILES * 4)
+        accepted = pipeline.accepted_stream(spark, paths)
         times = {"window": "12 hours", "slide": "2 hours", "within_seconds": 24 * 3600}
         for running in pipeline.start_pipeline(accepted, paths, f"{work}/vehicles", once=True, **times):
             listener.wait(running)
