@@ -1,21 +1,20 @@
-"""Per-type classifiers, calibration, backtest and feature importance with Spark ML.
+"""Per-type classifiers, calibration, backtest and feature importance.
 
-Scores of boosted trees differ between libraries; what is kept is the procedure: one shallow,
-slow learner per failure type with early stopping, sigmoid calibration on the validation
-split, thresholds by best F1, and the evaluation of ``evaluate``.
+The procedure: one shallow, slow learner per failure type with early stopping, all types grown together
+(``boosting``), sigmoid calibration on the validation split, thresholds by best F1, and the evaluation of ``evaluate``.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from convoy.operators import evaluate
+from convoy.operators import boosting, evaluate
 from convoy.operators.features import lead_days
 from convoy.operators.rules import baseline_flag
 from convoy.operators.scan import carried, chunk_window
@@ -23,32 +22,25 @@ from convoy.operators.scan import carried, chunk_window
 # Training settings.
 MIN_CALIBRATION_ROWS = 10
 IMPORTANCE_REPEATS = 5
-PATIENCE = 15
-MAX_BINS = 255
 LABEL = "any_failure_label"
 
 
 @dataclass
 class TypeModel:
-    """A fitted classifier with optional sigmoid calibration; ``trees`` is None without positives."""
+    """A fitted classifier with optional sigmoid calibration; ``trees`` is None without rows of both kinds."""
 
     failure_type: str
-    trees: GBTClassificationModel | None
+    trees: boosting.Boosted | None
     slope: float | None = None
     offset: float | None = None
 
     def score(self, df: DataFrame, vector: str = "features") -> DataFrame:
-        if self.trees is None:
-            return df.withColumn(self.failure_type, F.lit(0.0))
-        raw, probability, prediction = (f"_{self.failure_type}_{n}" for n in ("raw", "prob", "pred"))
-        trees = self.trees.setFeaturesCol(vector).setRawPredictionCol(raw).setProbabilityCol(probability).setPredictionCol(prediction)
-        scored = trees.transform(df)
-        if self.slope is None:
-            value = vector_to_array(F.col(probability))[1]
-        else:
-            margin = vector_to_array(F.col(raw))[1]
-            value = F.lit(1.0) / (F.lit(1.0) + F.exp(-(margin * F.lit(self.slope) + F.lit(self.offset))))
-        return scored.withColumn(self.failure_type, value).drop(raw, probability, prediction)
+        return score(df, {self.failure_type: self}, vector)
+
+    def probability(self, margin: Column) -> Column:
+        """The margin itself without a calibration."""
+        calibrated = margin if self.slope is None else margin * F.lit(self.slope) + F.lit(self.offset)
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(-calibrated))
 
 
 def assemble(df: DataFrame, columns: list[str], out: str = "features") -> DataFrame:
@@ -56,63 +48,43 @@ def assemble(df: DataFrame, columns: list[str], out: str = "features") -> DataFr
 
 
 def train(
-    inputs: DataFrame, types: list[str], max_iter: int = 300, depth: int = 3, step: float = 0.05, min_leaf: int = 100, seed: int = 42,
-    patience: int = PATIENCE,
+    inputs: DataFrame, types: list[str], max_iter: int = boosting.ROUNDS, depth: int = boosting.DEPTH, step: float = boosting.STEP,
+    min_leaf: int = boosting.MIN_LEAF, seed: int = 42, patience: int = boosting.PATIENCE,
 ) -> dict[str, TypeModel]:
     """One model per type from rows with ``split`` (train, validate), ``features`` and ``failure_type``.
 
-    A tenth of the training rows, chosen by hash, decides how many trees are kept: boosting goes on in steps until
-    the loss on those rows has not fallen for ``patience`` trees, and the model has the trees up to the lowest loss.
+    A tenth of the training rows, chosen by hash, decides how many trees are kept: boosting goes on until the loss on
+    those rows has not fallen for ``patience`` trees, and the model has the trees up to the lowest loss.
     """
     held = F.pmod(F.xxhash64("vin", "day", F.lit(seed)), F.lit(10)) == 0
-    counts = inputs.groupBy("split", "failure_type").agg(F.count(F.lit(1)).alias("n")).collect()  # splits x types
-
-    def positives(split: str, name: str) -> tuple[int, int]:
-        rows = [r for r in counts if r["split"] == split]
-        yes = sum(r["n"] for r in rows if r["failure_type"] == name)
-        return yes, sum(r["n"] for r in rows) - yes
-
-    models = {}
-    for name in types:
-        yes, no = positives("train", name)
-        if not yes or not no:
-            models[name] = TypeModel(name, None)
-            continue
-        rows = inputs.withColumn("label", (F.col("failure_type") == name).cast("double"))
-        fit_rows = rows.filter(F.col("split") == "train").select("features", "label", held.alias("held"))
-        learner = GBTClassifier(
-            featuresCol="features", labelCol="label", maxDepth=depth, stepSize=step, minInstancesPerNode=min_leaf, maxBins=MAX_BINS, seed=seed, checkpointInterval=10,
-        )
-        trees = _boosted(learner, fit_rows.filter(~F.col("held")), fit_rows.filter("held"), max_iter, patience)
-        model = TypeModel(name, trees)
-        yes, no = positives("validate", name)
-        if yes >= MIN_CALIBRATION_ROWS and no >= MIN_CALIBRATION_ROWS:
-            margins = trees.setRawPredictionCol("_raw").transform(rows.filter(F.col("split") == "validate").select("features", "label"))
-            curve = margins.select(array_to_vector(F.array(vector_to_array(F.col("_raw"))[1])).alias("margin"), "label")
-            fitted = LogisticRegression(featuresCol="margin", labelCol="label").fit(curve)
-            model.slope, model.offset = float(fitted.coefficients[0]), float(fitted.intercept)
-        models[name] = model
+    rows = inputs.withColumns({"x": vector_to_array("features"), "y": F.array_position(F.lit(types), F.col("failure_type")) - 1})
+    grown = boosting.fit(
+        rows.filter("split = 'train'"), len(types), held=held, rounds=max_iter, depth=depth, step=step, min_leaf=min_leaf, patience=patience
+    )
+    models = {name: TypeModel(name, trees) for name, trees in zip(types, grown)}
+    fitted = [m for m in models.values() if m.trees is not None]
+    if not fitted:
+        return models
+    validate = rows.filter("split = 'validate'").select(boosting.margins(F.col("x"), [m.trees for m in fitted]).alias("m"), "failure_type").checkpoint()
+    counts = {r["failure_type"]: r["n"] for r in validate.groupBy("failure_type").agg(F.count(F.lit(1)).alias("n")).collect()}
+    for i, model in enumerate(fitted):
+        yes = counts.get(model.failure_type, 0)
+        if yes >= MIN_CALIBRATION_ROWS and sum(counts.values()) - yes >= MIN_CALIBRATION_ROWS:
+            hit = F.col("failure_type").eqNullSafe(model.failure_type).cast("double")
+            curve = validate.select(array_to_vector(F.array(F.col("m")[i])).alias("margin"), hit.alias("label"))
+            line = LogisticRegression(featuresCol="margin", labelCol="label").fit(curve)
+            model.slope, model.offset = float(line.coefficients[0]), float(line.intercept)
     return models
 
 
-def _boosted(learner: GBTClassifier, rows: DataFrame, held: DataFrame, most: int, patience: int) -> GBTClassificationModel:
-    """Doubles the rounds until the held rows' loss has its minimum ``patience`` trees before the end, then keeps the
-    trees up to there. Without held rows all rounds are kept. The same seed gives the same first trees."""
-    rounds = min(most, 2 * patience)
-    while True:
-        fitted = learner.setMaxIter(rounds).fit(rows)
-        losses = fitted.evaluateEachIteration(held) if not held.isEmpty() else []
-        best = losses.index(min(losses)) + 1 if losses else rounds
-        if rounds == most or losses and best + patience <= rounds:
-            return fitted if best == rounds else learner.setMaxIter(best).fit(rows)
-        rounds = min(most, 2 * rounds)
-
-
-def score(df: DataFrame, models: dict[str, TypeModel]) -> DataFrame:
-    """One score column per type."""
-    for model in models.values():
-        df = model.score(df)
-    return df
+def score(df: DataFrame, models: dict[str, TypeModel], vector: str = "features") -> DataFrame:
+    """One score column per type, 0 for a type without a model; one Arrow pass for all types."""
+    fitted = [m for m in models.values() if m.trees is not None]
+    scores = {name: F.lit(0.0) for name in models}
+    if fitted:
+        df = df.withColumn("_margins", boosting.margins(vector_to_array(vector), [m.trees for m in fitted]))
+        scores |= {m.failure_type: m.probability(F.col("_margins")[i]) for i, m in enumerate(fitted)}
+    return df.withColumns(scores).drop("_margins")
 
 
 def long_form(scored: DataFrame, types: list[str]) -> DataFrame:

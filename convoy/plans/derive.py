@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from convoy.schemas import FAILURE_TYPES
+
 NOW = "2024-01-31 00:00:00"
 BOARD_NOW = "2001-12-31 00:00:00"
 
@@ -228,7 +230,7 @@ def bookings(spark: SparkSession, sf_dir: str) -> DataFrame:
 FAILING = "kind = 'error' and k % 6 = 0"
 LABELS = f"""labels_v AS (
   SELECT vin, max(event_time) AS failure_at,
-         CASE max(c) % 4 WHEN 0 THEN 'cooling' WHEN 1 THEN 'lubrication' WHEN 2 THEN 'battery' ELSE 'tyre' END AS failure_type
+         ({FAILURE_TYPES!r})[max(c) % {len(FAILURE_TYPES)} + 1] AS failure_type
   FROM sig WHERE {FAILING} GROUP BY vin),
 labels_all AS (
   SELECT v.vin, CASE v.n % 3 WHEN 0 THEN 'ICE' WHEN 1 THEN 'EV' ELSE 'HYBRID' END AS vehicle_type, l.failure_type, l.failure_at
@@ -239,10 +241,10 @@ def failure_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per vehicle; ``failure_at`` and ``failure_type`` are NULL for healthy ones."""
     rows = signals(spark, sf_dir)
     failing = F.expr(FAILING)
-    kind = F.max(F.when(failing, F.col("c"))) % 4
+    kind = F.max(F.when(failing, F.col("c"))) % len(FAILURE_TYPES)
     number = F.max("vehicle_id") % 3
     return rows.groupBy("vin").agg(
         F.when(number == 0, "ICE").when(number == 1, "EV").otherwise("HYBRID").alias("vehicle_type"),
-        F.when(kind == 0, "cooling").when(kind == 1, "lubrication").when(kind == 2, "battery").when(kind == 3, "tyre").alias("failure_type"),
+        F.get(F.lit(FAILURE_TYPES), kind.cast("int")).alias("failure_type"),
         F.max(F.when(failing, F.col("event_time"))).alias("failure_at"),
     ).withColumns({"onset_at": F.lit(None).cast("timestamp_ntz"), "tenant": F.lit(None).cast("string")})

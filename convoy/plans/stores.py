@@ -55,7 +55,7 @@ def prediction_store(spark, sf_dir):
     """Scored pairs appended as predictions with the stored decimal types."""
     path = f"{_folder(spark)}/predictions"
     scored = ml.stand_in_scores(spark, sf_dir)
-    long = risk.long_scores(scored, ml.TYPES, features.NUMERIC_FEATURES, "v1", features.lead_days(F.col("failure_type")), key="key")
+    long = risk.long_scores(scored, list(ml._SCORE), features.NUMERIC_FEATURES, "v1", features.lead_days(F.col("failure_type")), key="key")
     rows = risk.to_predictions(long.select("key.*", "*").drop("key"), d.vehicles(spark, sf_dir))
     rows.write.mode("append").parquet(path)
     return spark.read.parquet(path).select(
