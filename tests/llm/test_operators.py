@@ -411,6 +411,64 @@ def test_compact_windows_are_the_cartesian_tree():
         assert set(zip(*(v.tolist() for v in passages.compact_windows(x, t)))) == expected
 
 
+def test_signatures_of_two_functions_are_all_pairs_of_least_tokens():
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        n, t = int(rng.integers(1, 50)), int(rng.integers(1, 8))
+        x, y = (rng.integers(1, rng.choice([4, 12, 1000]), n).astype(np.uint64) for _ in range(2))
+        x[gaps := rng.random(n) < 0.05] = 0
+        y[gaps] = 0
+        expected = {}
+        for a in range(n):
+            for b in range(a + t, n + 1):
+                if (x[a:b] == 0).any():
+                    break
+                both = a + int(np.argmin(x[a:b])), a + int(np.argmin(y[a:b]))
+                low, high = expected.get(both, (a, b - 1))
+                expected[both] = min(low, a), max(high, b - 1)
+        l, c, r = passages.compact_windows(x, t)
+        got = passages.refined({"l": l, "c": c, "h": c, "r": r}, y, t)
+        assert set(zip(*(got[k].tolist() for k in ("l", "c", "h", "r")))) == {(l, min(k), max(k), r) for k, (l, r) in expected.items()}
+
+
+def near_pairs(texts):
+    """All pairs of texts of which some 46 five-word runs in a row each have a Jaccard similarity of 0.8, by trying them all."""
+    runs = {d: [tuple(w[k:k + 5]) for k in range(len(w) - 4)] for d, w in texts.items()}
+    holders, shared = collections.defaultdict(set), collections.Counter()
+    for d, r in runs.items():
+        for x in set(r):
+            holders[x].add(d)
+    for d in holders.values():
+        shared.update((a, b) for a in d for b in d if a > b)
+    out = set()
+    for (a, b), n in shared.items():
+        if n < 37:
+            continue
+        every, other = set(runs[b]), [set(runs[b][k:k + 46]) for k in range(len(runs[b]) - 45)]
+        for k in range(len(runs[a]) - 45):
+            mine = set(runs[a][k:k + 46])
+            if 9 * len(mine & every) >= 4 * (len(mine) + 37) and any(len(mine & o) >= 0.8 * len(mine | o) for o in other):
+                out.add((a, b))
+                break
+    return out
+
+
+def test_passages_hang_together_as_all_near_pairs(spark, documents):
+    texts = {r["doc_id"]: r["text"].lower().split() for r in documents.where("text IS NOT NULL").collect()}
+    expected = near_pairs(texts)
+    root = {d: d for d in texts}
+
+    def top(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for r in passages.repeated_passages(documents).collect():
+        root[top(r["doc_id"])] = top(r["of_doc"])
+    lost = {(a, b) for a, b in expected if top(a) != top(b)}
+    assert len(expected) > 20 and not lost
+
+
 def test_passages_against_all_windows(spark, documents):
     texts = {r["doc_id"]: r["text"].lower().split() for r in documents.collect()}
     where = collections.defaultdict(set)
@@ -435,7 +493,7 @@ def test_passages_odd_rows(spark, odd, none):
     docs = spark.createDataFrame([(k, " ".join([f"x{k}{j}" for j in range(30)] + words[50:110] + [f"y{k}{j}" for j in range(30)]), "t") for k in range(40)] + [(None, " ".join(words), "t")], "doc_id long, text string, a string")
     got = passages.repeated_passages(docs).collect()
     assert {r["doc_id"] for r in got} == set(range(1, 40)) and all((r["first_word"], r["n_words"]) == (30, 60) for r in got)
-    assert len(got) <= 2 * passages.HASHES * 39  # never all pairs
+    assert len(got) <= 2 * passages.PAIRS * 39  # never all pairs
 
 
 def test_passages_find_every_near_copy(spark):
