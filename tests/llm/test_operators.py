@@ -431,6 +431,15 @@ def test_signatures_of_two_functions_are_all_pairs_of_least_tokens():
         assert set(zip(*(got[k].tolist() for k in ("l", "c", "h", "r")))) == {(l, min(k), max(k), r) for k, (l, r) in expected.items()}
 
 
+def test_packed_windows_come_back():
+    rng = np.random.default_rng(1)
+    kinds = {n: np.int64 if n in passages._WIDE else np.int32 for n in passages._NAMES}
+    w = {n: rng.integers(np.iinfo(kind).min, np.iinfo(kind).max, 1000, kind) for n, kind in kinds.items()}
+    for names in (passages._NAMES, list(passages.WINDOW)):
+        got = passages._unpacked(passages._packed({n: w[n] for n in names}), names)
+        assert all(got[n].dtype == kinds[n] and (got[n] == w[n]).all() for n in names)
+
+
 def near_pairs(texts):
     """All pairs of texts of which some 46 five-word runs in a row each have a Jaccard similarity of 0.8, by trying them all."""
     runs = {d: [tuple(w[k:k + 5]) for k in range(len(w) - 4)] for d, w in texts.items()}
