@@ -95,3 +95,38 @@ def test_live_position_beats_home(spark):
     home = spark.createDataFrame([(1, 1.0, 2.0)], "depot_id long, lat double, lon double")
     rows = {r.vin: (r.lat, r.lon) for r in routing.live_position(cars, twin, home).collect()}
     assert rows == {"a": (5.0, 6.0), "b": (1.0, 2.0)}
+
+
+def one_by_one(cars, depots):
+    left, expected = {d[0]: d[3] for d in depots}, {}
+    for car in sorted(cars):
+        open_depots = [d for d in depots if left[d[0]] > 0]
+        if open_depots:
+            best = min(open_depots, key=lambda d: (round(km(car[1:], d[1:3]), 6), d[0]))[0]
+            left[best] -= 1
+            expected[car[0]] = best
+    return expected
+
+
+@pytest.mark.parametrize("per_region", [8192, 12, 3])
+def test_booking_across_regions(spark, per_region):
+    """Crowded places, equal distances and more requests than bays, with one region and with many."""
+    cars, depots = fleet(6, vehicles=260, depots=90)
+    depots = [*depots, *[(100 + i, *d[1:3], 1) for i, d in enumerate(depots[:20])], (500, None, 1.0, 3)]
+    placed = [d for d in depots if d[1] is not None]
+    booked = routing.assign_bays(*frames(spark, cars, depots), "vehicle_id", scan.number_chunk(F.col("vehicle_id"), 50), per_region=per_region)
+    assert {r.vehicle_id: r.depot_id for r in booked.collect()} == one_by_one(cars, placed)
+
+
+def test_booking_in_a_crowd_takes_few_rounds(spark):
+    """All ask at one spot, so depots fill up by distance: a round per depot before."""
+    cars = [(i, 10.0, 10.0) for i in range(120)]
+    depots = [(i, 10.0 + i / 100, 10.0, 2) for i in range(60)]
+    context = spark.sparkContext
+    context.setJobGroup("crowd", "bulk booking")
+    try:
+        found = routing.assign_bays(*frames(spark, cars, depots), "vehicle_id", scan.number_chunk(F.col("vehicle_id"), 50)).collect()
+    finally:
+        context.setJobGroup("none", "")
+    assert {r.vehicle_id: r.depot_id for r in found} == {i: i // 2 for i in range(120)}
+    assert len(context.statusTracker().getJobIdsForGroup("crowd")) < 60
