@@ -51,3 +51,37 @@ def test_similar_text_is_closer_and_catalogue_upserts(spark):
     changed = spark.createDataFrame([("P0700", "new text"), ("P9", "added")], "code string, description string")
     after = {r.code: r.description for r in search.upsert_catalogue(catalogue, changed, "code", "description").collect()}
     assert after == {"P0217": "Engine coolant over-temperature condition", "P0524": "Engine oil pressure too low", "P0700": "new text", "P9": "added"}
+
+
+def test_tiles_are_few_and_large():
+    """Rows sent are n x (tiles of the other side): about n ** 1.5 or less, where blocks of 128 and 256 sent n ** 2 / 85."""
+    for n in (100_000, 600_000):
+        q, c = search._tiles(n, n, 64, 12, 128, 256)
+        assert 48 <= q * c and n / q * 64 * 8 <= search.TILE_BYTES and n / c * 64 * 8 <= search.TILE_BYTES
+        assert q + c < 24
+    assert search._tiles(200, 3_000_000, 384, 12, 2048, 8192)[0] == 1
+
+
+def test_many_equal_distances(spark):
+    """Copies in all blocks, opposite and zero vectors, against all distances sorted; a pair's matrix is in memory in parts."""
+    rng = np.random.default_rng(7)
+    corpus = np.repeat(rng.integers(-2, 3, size=(150, 6)), 8, axis=0)[rng.permutation(1200)].astype(float) * rng.integers(1, 5, size=(1200, 1))
+    corpus[::97] = 0
+    ids = rng.permutation(5000)[:1200]
+    rows = spark.createDataFrame([(int(i), [float(x) for x in row]) for i, row in zip(ids, corpus)], "id long, vector array<float>")
+    found = search.cosine_neighbours(rows, rows, 9, "id", "id", digits=6, skip_self=True, query_block=50, corpus_block=70).collect()
+    got = {}
+    for r in sorted(found, key=lambda r: (r.query_id, r.place)):
+        got.setdefault(r.query_id, []).append((np.inf if r.distance is None else r.distance, r.item_id))
+    norms = np.sqrt(np.outer((corpus**2).sum(axis=1), (corpus**2).sum(axis=1)))
+    with np.errstate(invalid="ignore"):
+        distance = np.where(norms > 0, np.round(1 - corpus @ corpus.T / norms, 6) + 0.0, np.inf)
+    for q, query in enumerate(ids):
+        expected = sorted((d, int(i)) for d, i in zip(distance[q], ids) if i != query)[:9]
+        assert got[query] == expected
+
+
+def test_narrow_keeps_values():
+    for values in ([1.0, -3.0], [0.5, 0.1], [float(np.float32(0.1))], [1e300], [40000.0], [float("nan")]):
+        matrix = np.array([values])
+        assert np.array_equal(search._narrow(matrix).astype(float), matrix, equal_nan=True)
