@@ -4,17 +4,39 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Vector size and token shape.
+# Vector size, rows at a time and token shape.
 DIMENSIONS = 384
+ROWS = 256
 TOKEN = re.compile("[a-z0-9]+")
 
 
+def vectors_of(batch: pa.Array, normalise: bool) -> Iterator[pa.Array]:
+    """The vectors of a batch of texts, ``ROWS`` at a time: only so many are in memory beside the batch."""
+    slots: dict[str, int] = {}
+    for start in range(0, len(batch), ROWS):
+        texts = batch.slice(start, ROWS).to_pylist()
+        counts = np.zeros((len(texts), 2 * DIMENSIONS))
+        for row, value in enumerate(texts):
+            for token in TOKEN.findall((value or "").lower()):
+                slot = slots.get(token)
+                if slot is None:
+                    digest = hashlib.sha256(token.encode("utf-8")).digest()
+                    slot = slots[token] = int.from_bytes(digest, "big") % (2 * DIMENSIONS)
+                counts[row, slot] += 1
+        found = counts[:, :DIMENSIONS] - counts[:, DIMENSIONS:]
+        if normalise:
+            norm = np.sqrt((found**2).sum(axis=1, keepdims=True))
+            found = found / np.where(norm > 0, norm, 1)
+        yield pa.ListArray.from_arrays(np.arange(len(texts) + 1, dtype=np.int32) * DIMENSIONS, found.ravel())
+
+
 def hashed_vector(text: Column, normalise: bool = True) -> Column:
     """384 signed token counts, scaled to unit length unless there is no token.
 
@@ -25,22 +47,10 @@ def hashed_vector(text: Column, normalise: bool = True) -> Column:
     up to 384 rows per text.
     """
 
-    @F.pandas_udf("array<double>")
-    def vectors(texts: pd.Series) -> pd.Series:
-        slots: dict[str, int] = {}
-        out = []
-        for value in texts:
-            counts = np.zeros(2 * DIMENSIONS)
-            for token in TOKEN.findall((value or "").lower()):
-                slot = slots.get(token)
-                if slot is None:
-                    digest = hashlib.sha256(token.encode("utf-8")).digest()
-                    slot = slots[token] = int.from_bytes(digest, "big") % (2 * DIMENSIONS)
-                counts[slot] += 1
-            vector = counts[:DIMENSIONS] - counts[DIMENSIONS:]
-            norm = np.sqrt(vector @ vector)
-            out.append(vector / norm if normalise and norm > 0 else vector)
-        return pd.Series(out)
+    @F.arrow_udf("array<double>")
+    def vectors(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield from vectors_of(batch, normalise)
 
     # not "deterministic" for the optimizer: it must not run the hashing again for an inferred filter
     return vectors.asNondeterministic()(text)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ QUERY_BLOCK = 2048
 CORPUS_BLOCK = 8192
 TILE_BYTES = 2**25  # of the rows of one side that meet in a task
 _CELLS = 2**21  # of a matrix product that is in memory
-_PACK_ROWS = 4096
+_PACK_ROWS = 2048
 _PACKED = "tile int, n int, width int, kind string, ids binary, vectors binary"
 _ERROR = 1e-12  # of a cosine
 
@@ -38,17 +39,20 @@ def _packed(rows: DataFrame, tiles: int) -> DataFrame:
 
     def pack(batches):
         for batch in batches:
-            for start in range(0, len(batch), _PACK_ROWS):
-                part = batch.iloc[start : start + _PACK_ROWS]
-                ids, tile, matrix = part["id"].to_numpy(np.int64), part["tile"].to_numpy(), np.vstack(part["vector"].to_numpy()).astype(float)
+            for start in range(0, batch.num_rows, _PACK_ROWS):
+                part = batch.slice(start, _PACK_ROWS)
+                ids, tile = part["id"].to_numpy(), part["tile"].to_numpy()
+                vectors = part["vector"]
+                matrix = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
                 order = np.argsort(tile, kind="stable")
                 out = []
                 for at in np.split(order, np.flatnonzero(np.diff(tile[order])) + 1):
-                    vectors = _narrow(matrix[at])
-                    out.append((int(tile[at[0]]), len(at), matrix.shape[1], vectors.dtype.str, ids[at].tobytes(), vectors.tobytes()))
-                yield pd.DataFrame(out, columns=["tile", "n", "width", "kind", "ids", "vectors"])
+                    small = _narrow(matrix[at])
+                    out.append((int(tile[at[0]]), len(at), matrix.shape[1], small.dtype.str, ids[at].tobytes(), small.tobytes()))
+                columns = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.binary()))]
+                yield pa.RecordBatch.from_arrays(columns, ["tile", "n", "width", "kind", "ids", "vectors"])
 
-    return rows.withColumn("tile", F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int")).mapInPandas(pack, _PACKED)
+    return rows.withColumn("tile", F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int")).mapInArrow(pack, _PACKED)
 
 
 def _unpacked(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:

@@ -1,9 +1,14 @@
 """Nearest neighbours against plain numpy, in one block of queries and in several."""
 
+import hashlib
+import re
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from convoy.functions import text
 from convoy.operators import search
 
 
@@ -85,3 +90,18 @@ def test_narrow_keeps_values():
     for values in ([1.0, -3.0], [0.5, 0.1], [float(np.float32(0.1))], [1e300], [40000.0], [float("nan")]):
         matrix = np.array([values])
         assert np.array_equal(search._narrow(matrix).astype(float), matrix, equal_nan=True)
+
+
+def test_texts_are_hashed_a_few_at_a_time(spark):
+    """A whole batch of texts had all its vectors in memory several times."""
+    texts = [None if i % 50 == 0 else f"Word{i} word{i % 7} 12-{i % 3}" * (i % 4) for i in range(text.ROWS * 3 + 5)]
+    parts = list(text.vectors_of(pa.array(texts), False))
+    assert [len(p) for p in parts] == [text.ROWS] * 3 + [5]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, t string").coalesce(1)
+    found = {r.id: r.vector for r in search.hashed_vectors(rows, "id", "t", normalise=False).collect()}
+    for i, value in enumerate(texts):
+        expected = [0.0] * 384
+        for token in re.findall("[a-z0-9]+", (value or "").lower()):
+            x = int(hashlib.sha256(token.encode()).hexdigest(), 16) % 768
+            expected[x % 384] += 1 if x < 384 else -1
+        assert found[i] == expected
