@@ -236,3 +236,27 @@ def test_kept_rows_by_first_arrival_across_batches(spark):
     merged = {r.vin: r.x for r in twin.merge_latest(old, new, "vin", "at").collect()}
     assert merged == {"a": "new", "b": "keep", "c": "add"}
     assert dedup.missing_keys(old, new, ["vin"]).collect()[0].vin == "b"
+
+
+def test_feed_deals_more_files_for_more_rows(spark, folder):
+    """Every part has as many files as the trigger reads, more than two where it has the rows; order keys may be null or times."""
+    from convoy.plans import streams
+
+    rows = spark.range(1000).selectExpr("id AS arrival", "id % 7 AS x").repartition(2)
+    schema, files = streams._feed(rows, f"{folder}/many", file_rows=40)
+    assert files == 5 and schema.names == rows.columns
+    stored = spark.read.parquet(f"{folder}/many").select(F.input_file_name().alias("f"), F.floor(F.col("arrival") / 200).alias("part"))
+    assert {r.part: r.n for r in stored.groupBy("part").agg(F.count_distinct("f").alias("n")).collect()} == {p: 5 for p in range(5)}
+    assert streams._feed(rows.limit(20), f"{folder}/few", file_rows=1)[1] >= 2
+
+
+def test_twin_hands_over_one_value_per_message(spark, folder):
+    """Each value of a row costs the processor more than its message: all of a message is one text."""
+    frame, stream = feed(spark, folder, messages())
+    changes = state.twin_changes(nested(stream, ["coolant_c"]), ["event_time", "arrival", "seq"])
+    assert "transformWithStateInPySpark" in changes._jdf.queryExecution().analyzed().toString()
+    assert "[vin#" in changes._jdf.queryExecution().analyzed().toString() and "entry#" in changes._jdf.queryExecution().analyzed().toString()
+    writer = state.store_changes(f"{folder}/twin", [("coolant_c", "double")])
+    sinks.start(changes, f"{folder}/_c", writer, once=True).awaitTermination()
+    expected = twin.fold_twin(frame, ["coolant_c"], ["event_time", "arrival", "seq"], scan.time_chunk(F.col("event_time"), "5 minutes"))
+    assert as_rows(state.current_twin(spark, f"{folder}/twin"), expected.columns) == as_rows(expected, expected.columns)
