@@ -75,27 +75,49 @@ def bin_cuts(rows: DataFrame, width: int, x: str = "x", bins: int = BINS) -> lis
 def _binned(rows: DataFrame, cuts: list[np.ndarray], starts: list[float], tasks: int) -> DataFrame:
     """``bins`` (a byte per input), ``y`` (number of the target, -1 for none), ``held`` and the start margins."""
 
+    first = np.array(starts).tobytes()
+
     def fill(batches):
         for batch in batches:
             x = np.array(batch["x"].tolist(), dtype=float).reshape(len(batch), len(cuts))
             codes = np.stack([np.searchsorted(c, x[:, f]) for f, c in enumerate(cuts)], axis=1).astype(np.uint8)
-            yield batch[["y", "held"]].assign(bins=[c.tobytes() for c in codes], margins=[starts] * len(batch))
+            yield batch[["y", "held"]].assign(bins=[c.tobytes() for c in codes], margins=[first] * len(batch))
 
-    return rows.repartition(tasks).mapInPandas(fill, "y int, held boolean, bins binary, margins array<double>")
+    return rows.repartition(tasks).mapInPandas(fill, "y int, held boolean, bins binary, margins binary")
 
 
 def _unpacked(batches: Iterable[pd.DataFrame], width: int) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
     for batch in batches:
         if len(batch):
             codes = np.frombuffer(b"".join(batch["bins"]), dtype=np.uint8).reshape(len(batch), width)
-            yield batch, codes, np.array(batch["margins"].tolist(), dtype=float)
+            yield batch, codes, np.frombuffer(b"".join(batch["margins"])).reshape(len(batch), -1).copy()
+
+
+def _tree_values(columns: np.ndarray, feature: np.ndarray, cut: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """What a tree gives to each row. ``columns`` holds the bins of an input after each other: whole columns are compared, as
+    picking each row's input costs several times that."""
+    levels = int(np.log2(len(feature) + 1))
+    path = np.zeros(columns.shape[1], dtype=np.uint8 if levels <= 8 else np.int64)
+    for level in range(levels):
+        right = np.zeros(columns.shape[1], dtype=bool)
+        for place in range(2**level):
+            node = 2**level - 1 + place
+            if feature[node] >= 0:
+                right |= (path == place) & (columns[feature[node]] > int(cut[node]))
+        path = 2 * path + right
+    ends = np.zeros(2**levels, dtype=np.int64)
+    for bit in range(levels - 1, -1, -1):
+        cuts_on = (ends < len(feature)) & (feature[np.minimum(ends, len(feature) - 1)] >= 0)
+        ends = np.where(cuts_on, 2 * ends + 1 + (np.arange(2**levels) >> bit & 1), ends)
+    return value[ends][path]
 
 
 def _advance(codes: np.ndarray, margins: np.ndarray, trees: dict[int, list]) -> np.ndarray:
     """Margins with the trees that came after the stored ones; cuts are bins here."""
+    columns = np.ascontiguousarray(codes.T)
     for k, grown in trees.items():
         for feature, cut, value in grown:
-            margins[:, k] += value[_leaves(codes, feature, cut)]
+            margins[:, k] += _tree_values(columns, feature, cut, value)
     return margins
 
 
@@ -247,7 +269,7 @@ def _folded(stored: DataFrame, width: int, since: dict[int, list]) -> DataFrame:
 
     def move(batches):
         for batch, codes, before in _unpacked(batches, width):
-            yield batch.assign(margins=list(_advance(codes, before, since)))
+            yield batch.assign(margins=[m.tobytes() for m in _advance(codes, before, since)])
 
     return stored.mapInPandas(move, stored.schema).checkpoint()
 
