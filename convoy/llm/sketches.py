@@ -5,7 +5,7 @@ eighth. An edit so changes the paragraphs it touches and no others. Each paragra
 paragraph are numbered, so all digests of a text differ) goes into one cell of each of three tables; a cell is a count, a
 sum of digests and a sum of checks. The difference of two sketches holds only the digests that one of the two has: a
 cell with count 1 or -1 whose check fits is such a digest; taking it out lays others open, until all cells are empty.
-If some stay, the sketch was too small and both texts are sketched again at twice the size.
+If some stay, or a digest came out twice, the sketch was too small and both texts are sketched again at twice the size.
 """
 
 from __future__ import annotations
@@ -116,17 +116,21 @@ class Sketches:
         self.check -= other.check
         return self
 
-    def peel(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(digest, text, sign) of all that can be taken out, and which texts came to nothing."""
+    def peel(self, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(digest, text, sign) of all that can be taken out, and which texts came to nothing.
+
+        A sum of several digests may pass for one. Taken out, it lies open with the other sign in its other cells, and could come
+        and go without end: a text gives no more than ``most`` digests, and one that gave any twice did not come to nothing.
+        """
         keys, owners, signs = [], [], []
-        idle, table = 0, 0
+        idle, table, taken = 0, 0, np.zeros(self.n, np.int64)
         place = np.arange(len(self.count)) // self.cells
-        while idle < TABLES:  # a digest has one cell in a table, so none is found twice
+        while idle < TABLES:  # a digest has one cell in a table, so none is found twice at once
             at = np.flatnonzero((np.abs(self.count) == 1) & (place % TABLES == table))
             sign = self.count[at]
             key = self.digest[at] * sign.astype(np.uint64)
             owner = place[at] // TABLES
-            fits = ((self.check[at] * sign.astype(np.uint64)) & _LOW == checks(key)) & (self._places(key, owner, table) == at)
+            fits = ((self.check[at] * sign.astype(np.uint64)) & _LOW == checks(key)) & (self._places(key, owner, table) == at) & (taken[owner] <= most[owner])
             key, owner, sign = key[fits], owner[fits], sign[fits]
             idle = 0 if len(key) else idle + 1
             if len(key):
@@ -134,10 +138,19 @@ class Sketches:
                 keys.append(key)
                 owners.append(owner)
                 signs.append(sign)
+                taken += np.bincount(owner, minlength=self.n)
             table = (table + 1) % TABLES
         rest = ((self.count != 0) | (self.digest != 0)).reshape(self.n, -1).any(axis=1)
         none = np.zeros(0, np.int64)
-        return np.concatenate([none.astype(np.uint64), *keys]), np.concatenate([none, *owners]), np.concatenate([none, *signs]), ~rest
+        key, owner, sign = np.concatenate([none.astype(np.uint64), *keys]), np.concatenate([none, *owners]), np.concatenate([none, *signs])
+        own = key + owner.astype(np.uint64) * _CHECK
+        rest[owner[np.isin(own, _twice(own))]] = True
+        return key, owner, sign, ~rest & (taken <= most)
+
+
+def _twice(keys: np.ndarray) -> np.ndarray:
+    keys = np.sort(keys)
+    return keys[1:][keys[1:] == keys[:-1]]
 
 
 def checks(keys: np.ndarray) -> np.ndarray:
@@ -161,8 +174,9 @@ def differences(keys: np.ndarray, counts: np.ndarray, old: np.ndarray, new: np.n
     todo = np.arange(len(old))
     while len(todo):
         a, b = (_some(keys, counts, side[todo]) for side in (old, new))
-        key, pair, sign, done = Sketches(*a, len(todo), cells).less(Sketches(*b, len(todo), cells)).peel()
-        stuck = ~done & (TABLES * cells > LARGEST * (counts[old[todo]] + counts[new[todo]] + 1))
+        most = counts[old[todo]] + counts[new[todo]]
+        key, pair, sign, done = Sketches(*a, len(todo), cells).less(Sketches(*b, len(todo), cells)).peel(most)
+        stuck = ~done & (TABLES * cells > LARGEST * (most + 1))
         for k in np.flatnonzero(stuck):  # digests with all cells in common: compared as they are
             mine, theirs = a[0][a[1] == k], b[0][b[1] == k]
             for only, s in ((np.setdiff1d(mine, theirs), 1), (np.setdiff1d(theirs, mine), -1)):

@@ -103,6 +103,26 @@ def test_digests_that_share_all_cells_are_compared(monkeypatch):
     assert sorted(zip(key.tolist(), sign.tolist())) == [(k, 1 if k < 5 else -1) for k in range(1, 8)]
 
 
+def test_sums_that_pass_for_digests(monkeypatch):
+    """Checks of two bits: many sums of digests fit and lie open again and again."""
+    add, calls = sketches.Sketches._add, [0]
+
+    def counted(self, *rows):
+        calls[0] += 1
+        assert calls[0] < 100_000, "peels without end"
+        add(self, *rows)
+
+    monkeypatch.setattr(sketches.Sketches, "_add", counted)
+    monkeypatch.setattr(sketches, "checks", lambda keys: keys >> np.uint64(62))
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 2**63, int(rng.integers(0, 120)), dtype=np.uint64)) for _ in range(400)]
+    key, pair, sign, _ = sketches.differences(np.concatenate(sets), np.array([len(s) for s in sets]), np.arange(399), np.arange(1, 400))
+    for k in range(399):
+        mine = pair == k
+        assert sorted(key[mine & (sign > 0)]) == sorted(set(sets[k]) - set(sets[k + 1]))
+        assert sorted(key[mine & (sign < 0)]) == sorted(set(sets[k + 1]) - set(sets[k]))
+
+
 def test_changed_paragraphs_between_versions(spark):
     text = "\n".join(f"line {k} of the text" for k in range(300))
     old = [(1, text), (2, text), (3, "same"), (4, "gone"), (None, "no id"), (6, None)]
