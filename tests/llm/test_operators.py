@@ -539,6 +539,17 @@ def test_passages_around_frequent_words(spark):
     assert {(r["doc_id"], r["of_doc"]) for r in got} == {(2 * k + 1, 2 * k) for k in range(pairs)}
 
 
+def test_copies_of_one_root_meet_again_once(spark):
+    text = " ".join(f"w{k}" for k in range(100))
+    other = text.replace("w70 ", "x70 ")
+    texts = spark.createDataFrame([(k, text if k < 40 else other) for k in range(42)], "doc long, text string")
+    # 20 copies with root 0, 20 with root 20, two that differ in one word with root 0, and one window that ends before it
+    rows = [(7, k, 5, 50, 52, 90, 0 if k < 20 or k > 39 else 20) for k in range(42)] + [(7, 41, 5, 50, 52, 60, 0), (7, 3, 5, 50, 52, 60, 0), (8, 9, 5, 50, 52, 90, 0)]
+    windows = spark.createDataFrame(rows, "key long, doc long, l int, c int, h int, r int, root long")
+    got = sorted((r["key"], r["doc"], r["r"], r["root"], r["m"]) for r in passages.unlike(windows, texts).collect())
+    assert got == [(7, 0, 90, 0, 4), (7, 3, 60, 0, 4), (7, 20, 90, 20, 4), (7, 40, 90, 0, 4), (8, 9, 90, 0, 1)]
+
+
 def test_words_around_elements_without_content():
     page = "<body><article><p>wo<img src=x>rd and fl<input type=hidden>ow <video src=v></video>on</p><p>next</p></article></body>"
     nodes = htmltree.parse(page)
