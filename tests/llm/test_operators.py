@@ -440,6 +440,40 @@ def test_packed_windows_come_back():
         assert all(got[n].dtype == kinds[n] and (got[n] == w[n]).all() for n in names)
 
 
+def test_parts_hold_every_good_run():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        n = rng.integers(0, 30, 3)
+        twice = np.concatenate([np.append(rng.random(k) < rng.choice([0.5, 0.8, 0.95]), False) for k in n])
+        begin = np.cumsum(n + 1) - n - 1
+        expected = set()
+        for first, size in zip(begin.tolist(), n.tolist()):
+            for a in range(first, first + size):
+                for b in range(a + 8, first + size + 1):
+                    if twice[a] and 5 * twice[a:b].sum() >= 4 * (b - a):
+                        expected |= set(range(max(a - 2, first), min(b + 2, first + size)))
+        low, high = passages.runs(twice, begin, 10, 0.8)
+        got = [k for a, b in zip(low.tolist(), high.tolist()) for k in range(a, b + 1)]
+        assert sorted(expected) == got
+
+
+def test_only_parts_that_come_twice_are_looked_at(spark):
+    fresh = lambda k, n: [f"w{k}x{j}" for j in range(n)]
+    passage = fresh("p", 60)
+    rows = [(k, " ".join(fresh(k, 30) + (passage if k in (3, 7) else []) + fresh(f"z{k}", 70))) for k in range(10)]
+    # 56 tokens come twice, 14 more are a fifth of the run, 9 on both sides make a window of 46
+    for n in (1, 4):
+        got = passages.repeated(spark.createDataFrame(rows, "doc long, text string").repartition(n), 46, 0.8).collect()
+        assert sorted((r["doc"], r["low"], r["high"]) for r in got) == [(3, [21], [108]), (7, [21], [108])]
+
+
+def test_a_copied_text_has_one_row(spark):
+    text, other, short = (" ".join(f"{c}{k}" for k in range(n)) for c, n in (("a", 60), ("b", 70), ("c", 40)))
+    rows = [(1, other + " x " + text), *[(k, text) for k in (2, 2, 3, 4)], (4, other), (5, short), (6, short)]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(tuple(r)[:6] for r in got) == [(2, 0, 60, 1, 71, 60), (3, 0, 60, 2, 0, 60), (4, 0, 60, 2, 0, 60), (4, 0, 70, 1, 0, 70)]
+
+
 def near_pairs(texts):
     """All pairs of texts of which some 46 five-word runs in a row each have a Jaccard similarity of 0.8, by trying them all."""
     runs = {d: [tuple(w[k:k + 5]) for k in range(len(w) - 4)] for d, w in texts.items()}
