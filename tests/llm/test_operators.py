@@ -457,6 +457,18 @@ def test_parts_hold_every_good_run():
         assert sorted(expected) == got
 
 
+def test_pairs_turned_away_early_have_no_passage(monkeypatch):
+    rng = np.random.default_rng(5)
+    pairs = []
+    for _ in range(300):
+        a = rng.integers(1, 1 << 60, rng.integers(40, 160)).astype(np.uint64)
+        b = np.where(rng.random(len(a)) < rng.choice([0.05, 0.15, 0.25, 0.5]), rng.integers(1, 1 << 60, len(a)).astype(np.uint64), a)
+        pairs.append((a, b, (0, len(a) - 1), (0, len(b) - 1), 0, 46, 0.8))
+    got = [passages.verified(*p) for p in pairs]
+    monkeypatch.setattr(passages, "runs", lambda *_: ([0], [0]))
+    assert got == [passages.verified(*p) for p in pairs] and 20 < sum(map(bool, got)) < 280
+
+
 def test_only_parts_that_come_twice_are_looked_at(spark):
     fresh = lambda k, n: [f"w{k}x{j}" for j in range(n)]
     passage = fresh("p", 60)
