@@ -260,3 +260,33 @@ def test_twin_hands_over_one_value_per_message(spark, folder):
     sinks.start(changes, f"{folder}/_c", writer, once=True).awaitTermination()
     expected = twin.fold_twin(frame, ["coolant_c"], ["event_time", "arrival", "seq"], scan.time_chunk(F.col("event_time"), "5 minutes"))
     assert as_rows(state.current_twin(spark, f"{folder}/twin"), expected.columns) == as_rows(expected, expected.columns)
+
+
+def test_state_partitions_follow_the_cores(spark, folder):
+    """A state partition is a store of its own: many shuffle partitions, as large tables have, make no more of them."""
+    import os
+
+    _, stream = feed(spark, folder, messages()[:40], parts=1)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    most = sinks.STATE_PER_CORE * spark.sparkContext.defaultParallelism
+    spark.conf.set("spark.sql.shuffle.partitions", most + 40)
+    try:
+        sinks.start(so.drop_duplicates(stream, ["vin", "seq"]), f"{folder}/_c", lambda batch, n: sinks.write_batch(batch, f"{folder}/out", n), once=True).awaitTermination()
+        assert spark.conf.get("spark.sql.shuffle.partitions") == str(most + 40)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len([n for n in os.listdir(f"{folder}/_c/state/0") if n.isdigit()]) == most
+    assert spark.read.parquet(f"{folder}/out").count() == 40
+
+
+def test_queries_run_one_after_another_once(spark, folder):
+    rows = "SELECT 'v' AS vin, 'FAST' AS msg_type, id AS seq, timestamp_seconds(1700000000 + id) AS ts, 't' AS tenant, id AS arrival FROM range(9)"
+    spark.sql(rows).write.parquet(f"{folder}/out/accepted")
+    spark.createDataFrame([("v", 7, "owner")], "vin string, vehicle_id long, tenant string").write.parquet(f"{folder}/vehicles")
+    paths = pipeline.Paths(f"{folder}/out")
+    started = pipeline.start_pipeline(pipeline.accepted_stream(spark, paths), paths, f"{folder}/vehicles", once=True)
+    assert [(q.name, q.isActive) for q in started] == [("alerts", False), ("store", False), ("twin", False)]
+    begun = [dt.datetime.fromisoformat(q.recentProgress[0].timestamp) for q in started]
+    ended = [dt.datetime.fromisoformat(q.recentProgress[-1].timestamp) for q in started]
+    assert ended[0] <= begun[1] and ended[1] <= begun[2]
+    assert spark.read.parquet(paths.data("telemetry_fast")).count() == 9
