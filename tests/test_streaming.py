@@ -290,3 +290,64 @@ def test_queries_run_one_after_another_once(spark, folder):
     ended = [dt.datetime.fromisoformat(q.recentProgress[-1].timestamp) for q in started]
     assert ended[0] <= begun[1] and ended[1] <= begun[2]
     assert spark.read.parquet(paths.data("telemetry_fast")).count() == 9
+
+
+def test_routing_keeps_the_text_or_the_message(spark):
+    """What routing keeps of a micro-batch has the text of a message once, and gives the same rows."""
+    from convoy.operators import quality
+
+    vin = "1M8GDM9AXKP042788"
+    shard = spark.range(1).select(md5_shard(F.lit(vin), 32).alias("s")).first()["s"]
+    body = dict(vin=vin, msg_type="EVENT", seq=1, ts="2024-01-01T00:00:00Z", fw_version="1", payload=dict(event_type="DTC_SET", dtc="P0300"))
+    topic = f"fleet/t/shard-{shard}/{vin}/telemetry"
+    lines = [(topic, json.dumps(body), 1), (topic, "{", 2), (topic, json.dumps(dict(body, vin="x")), 3), (topic, json.dumps(dict(body, seq=-1)), 4), ("x", None, 5)]
+    judged = quality.judge(spark.createDataFrame(lines, "topic string, value string, arrival long"), 32)
+    kept = quality.narrowed(judged)
+    assert not {"value", "_vin", "_shard"} & set(kept.columns) and "payload" not in kept.select("_m.*").columns
+    assert kept.filter("reason IS NULL AND _text IS NOT NULL OR reason IS NOT NULL AND _p IS NOT NULL").count() == 0
+    for rows in (lambda j: quality.accepted(j, "arrival"), quality.quarantined, quality.reason_counts):
+        assert sorted(rows(kept).collect(), key=repr) == sorted(rows(judged).collect(), key=repr)
+    assert quality.accepted(kept).count() == 1 and quality.quarantined(kept).count() == 4
+
+
+def test_feed_leaves_its_rows_once(spark, folder):
+    import os
+
+    from convoy.plans import streams
+
+    streams._feed(spark.range(100).selectExpr("id AS arrival", "repeat('x', 5000) AS value"), f"{folder}/raw", "json")
+    assert os.listdir(folder) == ["raw"]
+    assert sum(os.path.getsize(f"{folder}/raw/{n}") for n in os.listdir(f"{folder}/raw")) < 100 * 5000 // 4
+    assert spark.read.schema("arrival long, value string").json(f"{folder}/raw").filter("length(value) = 5000").count() == 100
+
+
+def test_pairs_hand_over_rows_and_keep_one_value(spark, folder):
+    """A frame and several store calls per vehicle cost more than its few events."""
+    _, stream = feed(spark, folder, messages())
+    pairs = so.misfire_recurrence(so.with_event_time(stream), 60)
+    assert "transformWithStateUDF(vin" in pairs._jdf.queryExecution().analyzed().toString()
+
+    class Handle:
+        opened, timers = [], []
+
+        def getValueState(self, name, schema):
+            self.opened.append(name)
+            return self
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+        value, registerTimer = None, timers.append
+
+    class Mark:
+        getCurrentWatermarkInMs = staticmethod(lambda: 5)
+
+    processor = so.PairProcessor(1_000_000, "past_last")
+    processor.init(Handle())
+    assert list(processor.handleInputRows(("v", "t"), iter([("v", "t", None, us, us, True, "P0300") for us in (4900, 1000, 5000)]), None)) == []
+    found = list(processor.handleExpiredTimer(("v", "t"), Mark, None))
+    assert [tuple(r) for r in found] == [("v", "t", "P0300", 4900)] and Handle.opened == ["known"] and Handle.timers == [2, 6]
+    assert Handle.timers and json.loads(processor.known.value[2]) == [[5000, 5000, True, "P0300"]]
