@@ -351,3 +351,22 @@ def test_pairs_hand_over_rows_and_keep_one_value(spark, folder):
     found = list(processor.handleExpiredTimer(("v", "t"), Mark, None))
     assert [tuple(r) for r in found] == [("v", "t", "P0300", 4900)] and Handle.opened == ["known"] and Handle.timers == [2, 6]
     assert Handle.timers and json.loads(processor.known.value[2]) == [[5000, 5000, True, "P0300"]]
+
+
+def test_alerts_out_of_state_are_not_broadcast(spark, folder, monkeypatch):
+    """The batch that closes the windows has no input and so no size that Spark could go by; its alerts may be many."""
+    plans, write = {}, sinks.write_batch
+
+    def noted(df, path, number, *partitions):
+        plans[path.rsplit("/", 1)[-1], number] = df._jdf.queryExecution().executedPlan().toString()
+        write(df, path, number, *partitions)
+
+    monkeypatch.setattr(sinks, "write_batch", noted)
+    rows = "SELECT concat('v', id % 3) AS vin, 'FAST' AS msg_type, id AS seq, timestamp_seconds(1700000000 + id) AS ts, 't' AS tenant, id AS arrival, named_struct('coolant_c', 120D) AS payload FROM range(90)"
+    spark.sql(rows).write.parquet(f"{folder}/out/accepted")
+    spark.range(50000).selectExpr("concat('v', id) AS vin", "id AS vehicle_id", "'owner' AS tenant").write.parquet(f"{folder}/vehicles")
+    paths = pipeline.Paths(f"{folder}/out")
+    timed = so.with_event_time(pipeline.accepted_stream(spark, paths)).select("*", "payload.*").drop("payload")
+    sinks.start(pipeline.alert_stream(timed), paths.checkpoint("alerts"), pipeline.alert_batch(paths, f"{folder}/vehicles"), once=True).awaitTermination()
+    assert spark.read.parquet(paths.data("alerts")).filter("batch = 1").count() > 0
+    assert "SortMergeJoin" in plans["alerts", 1] and "Broadcast" not in plans["alerts", 1]
